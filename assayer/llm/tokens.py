@@ -20,7 +20,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Anything but characters on which all the libraries agree about case, composition and white space.
-_UNSAFE = re.compile("[^ \\t\\n\\r\\x21-\\x7e\\u00a1-\\u012f\\u0131-\\u024f\\u2010-\\u2015\\u2018-\\u201f\\u2020-\\u2022\\u2026\\u20ac]|[\\u00b2\\u00b3\\u00b9\\u00bc-\\u00be]")
+_UNSAFE = re.compile("[^ \\t\\n\\r\\x21-\\x7e\\u00a1-\\u00b1\\u00b4-\\u00b8\\u00ba\\u00bb\\u00bf-\\u012f\\u0131-\\u024f\\u2010-\\u2015\\u2018-\\u201f\\u2020-\\u2022\\u2026\\u20ac]")
+_BREAKS = str.maketrans("\t\n\r", "   ")
 # The patterns by which the two kinds of vocabulary split a text.
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -115,9 +116,9 @@ class Encoder:
         cache, new = self._cache, set()
         for p in cut:
             new.update(p)
-        new.difference_update(cache)
-        for w in new:
-            cache[w] = self._word(w)
+        for w in new:  # not new.difference_update(cache), which would walk the whole cache
+            if w not in cache:
+                cache[w] = self._word(w)
         get = cache.__getitem__
         out = [b"".join(map(get, p)) for p in cut]
         if len(cache) > self._entries:  # the words met first are the common ones: keep those
@@ -126,11 +127,17 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        fast = [self.kind is not None and not _UNSAFE.search(t) and not any(s in t for s in self._special) for t in texts]
+        fast = [self.kind is not None and _safe(t) and not any(s in t for s in self._special) for t in texts]
         done = iter(self._fast([t for t, f in zip(texts, fast, strict=True) if f])) if any(fast) else iter(())
         return [next(done) if f else self.whole(t) for t, f in zip(texts, fast, strict=True)]
 
 
+def _safe(text: str) -> bool:
+    if text.isascii():
+        return text.isprintable() or text.translate(_BREAKS).isprintable()
+    return not _UNSAFE.search(text)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
