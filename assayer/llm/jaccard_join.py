@@ -161,6 +161,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, front: fl
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     edge = int(front * 2.0**64)
     seen = work.keep(texts.mapInArrow(lambda it: _signatures(it, k, edge), "doc_id long, n long, node long, low array<long>"), "front")
+    ids = work.keep(seen.select("doc_id", "n", "node"), "ids")
     least = F.ceil(F.col("n") * percent / F.lit(100.0) - F.lit(1e-9))
     nodes = work.keep(seen.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first(F.size("low")).alias("n_low")), "nodes")
 
@@ -170,6 +171,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, front: fl
     need = (F.col("n") - least + 1).cast("long")
     alive = nodes.join(met, "node", "left").where(F.col("n_low") - F.coalesce("met", F.lit(0)) / F.col("copies") < need).where("rep is not null").select("node", "rep", "n")
     alive = work.keep(alive, "alive")
+    work.drop(seen)
     bits = spark.sparkContext.broadcast(_bitmap(alive))
     sets = texts.mapInArrow(lambda it: _sets(it, k, bits), "doc_id long, _node long, sig array<long>")
     named = sets.join(alive, (sets["_node"] == alive["node"]) & (sets["doc_id"] == alive["rep"])).select("node", "n", "sig").dropDuplicates(["node"])
@@ -201,15 +203,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, front: fl
     pairs = pairs.select("node", "grp", "pref", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     full = pairs.join(sets.select("node", "sig"), "node")
     links = full.groupBy("root", "i", "j").applyInPandas(lambda pdf: _verify(pdf, percent, 100), "a long, b long")
-    member = components(work, work.keep(links, "links"))
+    links = work.keep(links, "links")
+    work.drop(sets, prefixes)
+    member = components(work, links)
 
     # 5. Names: the least doc_id of a component.
     member = nodes.select("node", "rep").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = member.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("c"))
-    moved = member.join(ids, "root").where("component_id <> rep").select("node", "component_id")
+    least_ids = member.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("c"))
+    moved = member.join(least_ids, "root").where("component_id <> rep").select("node", "component_id")
     copied = nodes.where("copies > 1").select("node", "rep")
     names = work.keep(copied.join(moved, "node", "full").select("node", F.coalesce("component_id", "rep").alias("component_id")), "names")
-    done = seen.select("doc_id", "n", "node").join(names, "node", "left")
+    done = ids.join(names, "node", "left")
     return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
@@ -223,9 +227,16 @@ def _bitmap(alive: DataFrame) -> bytes:
     return bytes(held)
 
 
-def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, most_broadcast: int = 500_000) -> DataFrame:
     """The rows of docs that name their component; of rows that repeat a doc_id, one. Rows with a
-    null doc_id stay."""
-    ids = jaccard_components(docs, k, percent).where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(ids, docs["doc_id"] == ids["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    null doc_id stay. Texts are shuffled only where the ids to leave out are too many to broadcast
+    (``most_broadcast`` of them take some 10 MB)."""
+    work = Workspace(docs.sparkSession, "kept")
+    found = work.keep(jaccard_components(docs, k, percent), "components").where("doc_id is not null")
+    gone = work.keep(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    twice = work.keep(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    small = lambda t: F.broadcast(t) if t.count() <= most_broadcast else t
+    kept = docs.join(small(gone), "doc_id", "left_anti")
+    if twice.isEmpty():
+        return kept
+    return kept.join(small(twice), "doc_id", "left_anti").unionByName(kept.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
