@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayer.functions.text import ascii_lower, overlap_themes
+from assayer.functions.text import ascii_lower, is_blank, overlap_themes
+from assayer.functions.vector import cosine
 from assayer.operators.aggregates import frequent_items
 from assayer.operators.chunking import chunk_documents
-from assayer.operators.graph import contains_edges, cosine_pairs, entity_overlap
-from assayer.plans.providers import call_stage
+from assayer.operators.graph import contains_edges, cosine_pairs, entity_overlap, parent_summary, without
+from assayer.plans.judges import ask
+from assayer.plans.providers import ProviderError, call_stage
 
 STYLES = ["misspelled", "perfect_grammar", "poor_grammar", "web_search"]
 LENGTHS = ["short", "medium", "long"]
@@ -41,6 +43,24 @@ def with_property(nodes: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return joined.withColumn("props", F.when(F.col("_v").isNotNull(), fresh).otherwise(F.col("props"))).drop("_v")
 
 
+def _sound(df: DataFrame) -> DataFrame:
+    """Raises the first error of a stage."""
+    bad = df.where("failed is not null").select("failed").first()
+    if bad:
+        raise ProviderError(bad["failed"])
+    return df.drop("failed")
+
+
+def filter_chunks(nodes: DataFrame, edges: DataFrame, provider, keep: Callable[[DataFrame], DataFrame], least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The graph without chunks whose content scores at most ``least`` of 5 against the summary of
+    their document. Chunks without such a summary stay and are not asked for."""
+    known = parent_summary(nodes, edges).where("node_type = 'chunk'")
+    prompt = F.concat(F.lit("score 1 to 5 by summary: "), "parent_summary", F.lit("\ncontent: "), F.coalesce(F.col("props")["text"], F.lit("")))
+    scored = keep(ask(known, provider, keep, prompt, ~is_blank(F.col("parent_summary")), "score double"))
+    gone = _sound(scored).where(F.round("got.score") <= least).select("id")
+    return nodes.join(gone, "id", "left_anti"), without(edges, gone)
+
+
 def document_graph(docs: DataFrame, most_bytes: int = 256) -> tuple[DataFrame, DataFrame]:
     """Nodes of documents and their chunks, and contains and next edges."""
     chunks = chunk_documents(docs, most_bytes)
@@ -76,6 +96,133 @@ def single_hop_scenarios(themes: DataFrame, personas: DataFrame, n: int) -> Data
     return few.select("i", "node_id", "term", "persona", style.alias("style"), length.alias("length"))
 
 
+def representatives(summaries: DataFrame, n: int, keep: Callable[[DataFrame], DataFrame], at: float = 0.75) -> list[str]:
+    """Longest summaries, in bytes, of the first n greedy clusters of (ord, summary, vector).
+
+    The first row left is an anchor and takes all rows whose cosine exceeds ``at``. Each of the n
+    rounds is one distributed filter; one row a round reaches the driver."""
+    left, out = summaries.where("summary is not null and vector is not null"), []
+    for _ in range(n):
+        anchor = left.orderBy("ord").first()
+        if anchor is None:
+            break
+        near = (F.col("ord") == anchor["ord"]) | (cosine(F.col("vector"), F.lit([float(x) for x in anchor["vector"]])) > at)
+        out.append(left.where(near).orderBy(F.octet_length("summary").desc(), "ord").first()["summary"])
+        left = keep(left.where(~near))
+    return out
+
+
+def personas(summaries: DataFrame, n: int, provider, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(ord, name, role): a persona for each of the first n clusters of summaries."""
+    found = representatives(summaries, n, keep)
+    if not found:
+        raise ValueError("personas need nodes with a summary and its vector")
+    reps = summaries.sparkSession.createDataFrame(list(enumerate(found)), "ord int, summary string")
+    told = keep(ask(reps, provider, keep, F.concat(F.lit("persona for: "), "summary"), F.lit(True), "name string, role_description string"))
+    name, role = F.trim("got.name"), F.trim("got.role_description")
+    lacks = F.when(F.coalesce(name, F.lit("")) == "", "parse error: name is missing").when(F.coalesce(role, F.lit("")) == "", "parse error: role_description is missing")
+    return _sound(told.select("ord", name.alias("name"), role.alias("role"), F.coalesce("failed", lacks).alias("failed")))
+
+
+def match_themes(groups: DataFrame, personas: DataFrame, provider, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(ord, low, persona): for each group (ord, themes) the first persona that the model gives each
+    theme to, case aside. personas: (ord, name, role), few."""
+    roster = personas.agg(F.to_json(F.sort_array(F.collect_list(F.struct("ord", "name", "role")))).alias("roster"))
+    prompt = F.concat(F.lit("themes to personas: "), F.to_json("themes"), F.lit("\npersonas: "), "roster")
+    told = _sound(keep(ask(groups.crossJoin(F.broadcast(roster)), provider, keep, prompt, F.size("themes") > 0, "mapping map<string,array<string>>")))
+    flat = told.select(F.col("ord"), F.explode("got.mapping").alias("name", "given")).select("ord", "name", F.explode("given").alias("theme"))
+    ranked = flat.join(F.broadcast(personas.select("name", F.col("ord").alias("rank"))), "name")
+    return ranked.groupBy("ord", ascii_lower(F.col("theme")).alias("low")).agg(F.min_by("name", "rank").alias("persona"))
+
+
+def _rotated(clusters: DataFrame, n: int, make: Callable[[DataFrame, int], DataFrame], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Up to n scenarios, at most ceil(n / clusters) of each cluster, in the order of ord; styles and
+    lengths rotate. Clusters are taken in waves, so that no model is asked about those beyond need."""
+    total = clusters.count()
+    found, last, size = [], None, n
+    per = ceil(n / total) if total else 0
+    while total and len(found) < n:
+        wave = keep((clusters if last is None else clusters.where(F.col("ord") > last)).orderBy("ord").limit(size))
+        end = wave.agg(F.max("ord")).first()[0]
+        if end is None:
+            break
+        few = F.row_number().over(Window.partitionBy("ord").orderBy("k"))
+        made = make(wave, per).withColumn("_i", few).where(F.col("_i") <= per)
+        found += made.orderBy("ord", "k").limit(n - len(found)).select("node_ids", "combination", "persona").collect()
+        last, size = end, 2 * size
+    rows = [(i, list(r["node_ids"]), list(r["combination"]), r["persona"], STYLES[i % len(STYLES)], LENGTHS[i % len(LENGTHS)]) for i, r in enumerate(found)]
+    return clusters.sparkSession.createDataFrame(rows, "i int, node_ids array<string>, combination array<string>, persona string, style string, length string")
+
+
+def multi_hop_specific(edges: DataFrame, entities: DataFrame, personas: DataFrame, n: int, provider, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Scenarios over pairs of nodes that share entities: each theme of a pair that a persona cares for,
+    with those of its nodes that hold it. edges: (ord, source_id, target_id, overlapped), of which the
+    first of each pair counts; entities: (id, item)."""
+    e = edges.where("source_id <> target_id").select("ord", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), "overlapped")
+    pairs = e.groupBy("a", "b").agg(F.min("ord").alias("ord"), F.min_by("overlapped", "ord").alias("overlapped")).select("ord", F.array("a", "b").alias("nodes"), overlap_themes(F.col("overlapped")).alias("themes"))
+    pairs = keep(pairs)
+    if pairs.isEmpty():
+        raise ValueError("no edge between nodes that share entities")
+    held = entities.select("id", ascii_lower(F.col("item")).alias("low")).distinct()
+
+    def make(wave: DataFrame, per: int) -> DataFrame:
+        named = match_themes(wave.select("ord", "themes"), personas, provider, keep)
+        one = wave.select("ord", "nodes", F.posexplode("themes").alias("k", "theme")).withColumn("low", ascii_lower(F.col("theme"))).join(named, ["ord", "low"])
+        at = one.select("ord", "k", "theme", "persona", "low", F.posexplode("nodes").alias("pos", "id")).join(held, ["id", "low"], "left_semi")
+        own = at.groupBy("ord", "k", "theme", "persona").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s"))
+        return own.select("ord", "k", F.transform("s", lambda x: x["id"]).alias("node_ids"), F.array("theme").alias("combination"), "persona")
+
+    return _rotated(pairs, n, make, keep)
+
+
+def expand_children(clusters: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ord, nodes) with each node replaced by those its child edges lead to, if any; each once."""
+    flat = clusters.select("ord", F.posexplode("nodes").alias("p", "source_id"))
+    kids = edges.where("relationship = 'child'").select("source_id", "target_id", F.col("ord").alias("q"))
+    all_ = flat.join(kids, "source_id", "left").select("ord", "p", "q", F.coalesce("target_id", "source_id").alias("id"))
+    s = F.sort_array(F.collect_list(F.struct("p", "q", "id")))
+    return all_.groupBy("ord").agg(F.array_distinct(F.transform(s, lambda x: x["id"])).alias("nodes"))
+
+
+def multi_hop_abstract(clusters: DataFrame, edges: DataFrame, themes: DataFrame, personas: DataFrame, n: int, provider, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Scenarios over clusters (ord, nodes) of similar nodes: the model combines concepts of their
+    nodes; each combination that a persona cares for counts, with the nodes that hold any of it.
+    themes: (id, themes array)."""
+    low = lambda c: F.transform(c, ascii_lower)
+    wide = keep(expand_children(clusters, edges))
+
+    def make(wave: DataFrame, per: int) -> DataFrame:
+        at = wave.select("ord", F.posexplode("nodes").alias("p", "id")).join(themes, "id", "left")
+        lists = at.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("p", "id", F.coalesce("themes", F.array().cast("array<string>")).alias("themes")))).alias("lists"))
+        some = F.exists("lists", lambda x: F.size(x["themes"]) > 0)
+        prompt = F.concat(F.lit(f"at most {per} combinations of: "), F.to_json(F.transform("lists", lambda x: x["themes"])))
+        told = _sound(keep(ask(lists, provider, keep, prompt, some, "combinations array<array<string>>")))
+        told = told.select("ord", "lists", F.filter("got.combinations", lambda x: F.size(x) > 0).alias("found")).where(F.size("found") > 0)
+        named = match_themes(told.select("ord", F.flatten("found").alias("themes")), personas, provider, keep)
+        rank = personas.select(F.col("name").alias("persona"), F.col("ord").alias("rank"))
+        one = told.select("ord", "lists", F.posexplode("found").alias("k", "combination"))
+        cares = one.select("ord", "k", F.explode(low("combination")).alias("low")).join(named, ["ord", "low"]).join(F.broadcast(rank), "persona").groupBy("ord", "k").agg(F.min_by("persona", "rank").alias("persona"))
+        ids = F.transform(F.filter("lists", lambda x: F.arrays_overlap(low(x["themes"]), low(F.col("combination")))), lambda x: x["id"])
+        return one.join(cares, ["ord", "k"]).select("ord", "k", ids.alias("node_ids"), "combination", "persona").where(F.size("node_ids") > 0)
+
+    return _rotated(wide, n, make, keep)
+
+
+def scenario_samples(scenarios: DataFrame, nodes: DataFrame, personas: DataFrame, provider, keep: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """A question and a grounded answer per scenario (i, node_ids, combination, persona, style, length).
+    One node gives its bare text, and none without text; several give their texts with hop tags."""
+    at = scenarios.select("i", F.posexplode("node_ids").alias("p", "id")).join(nodes.select("id", F.col("props")["text"].alias("t")), "id", "left")
+    texts = at.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", F.coalesce("t", F.lit("")).alias("t")))), lambda x: x["t"]).alias("texts"))
+    s = scenarios.join(texts, "i").join(F.broadcast(personas.select(F.col("name").alias("persona"), "role")), "persona")
+    s = s.withColumn("reference_contexts", F.when(F.size("texts") == 1, F.col("texts")).otherwise(multi_hop_contexts()))
+    s = s.where((F.size("texts") > 1) | ~is_blank(F.get("texts", F.lit(0))))
+    prompt = F.concat(F.lit("question and answer for: "), F.to_json(F.struct("persona", "role", F.col("combination").alias("themes"), "style", "length")), F.lit("\ncontext: "), F.array_join("reference_contexts", "\n\n"))
+    told = keep(ask(s, provider, keep, prompt, F.lit(True), "query string, answer string"))
+    lacks = F.when(F.col("got.query").isNull() | F.col("got.answer").isNull(), "parse error: query or answer is missing")
+    told = _sound(told.withColumn("failed", F.coalesce("failed", lacks)))
+    return told.select("i", F.col("got.query").alias("user_input"), F.col("got.answer").alias("reference"), "reference_contexts", "node_ids", "persona", "style", "length", F.lit(name).alias("synthesizer_name"))
+
+
 def multi_hop_contexts(ids: list[str] | None = None, texts=None):
     """Texts of a cluster with the tag of their hop."""
     texts = F.col("texts") if texts is None else texts

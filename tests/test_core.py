@@ -229,3 +229,57 @@ def test_streaming_report(spark, tmp_path):
     q = windowed_report(s).writeStream.format("memory").queryName("win").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r["count"], r["errors"]) for r in spark.table("win").orderBy("start").collect()] == [(1, 1), (1, 0)]
+
+
+def test_noise_sensitivity_and_topics(spark, samples):
+    keep = lambda df: df.cache()
+    value = lambda df: {r["sample_index"]: r["value"] for r in df.collect()}
+
+    def judge(p):
+        if p.startswith("statements of"):
+            return '{"statements": ["a", "b"]}'
+        if p.startswith("attribute"):
+            return '{"verdicts": [{"verdict": 1}]}'
+        return '{"verdicts": [{"verdict": 0}, {"verdict": 1}]}' if p.endswith("Alpha is here.") else '{"verdicts": [{"verdict": 1}, {"verdict": 1}]}'
+
+    assert value(judges.noise_sensitivity(samples, providers.Scripted(judge), keep)) == {1: 0.5, 2: None}
+    assert value(judges.noise_sensitivity(samples, providers.Scripted(judge), keep, relevant=False)) == {1: 0.0, 2: None}
+    assert value(judges.noise_sensitivity(samples, providers.Scripted(lambda p: '{"statements": ["a"], "verdicts": []}'), keep)) == {1: None, 2: None}
+    talk = "array<struct<role:string,content:string,tool_calls:array<struct<name:string,arguments:string>>>>"
+    d = spark.createDataFrame([(1, ["x"]), (2, [])], "sample_index long, reference_topics array<string>").withColumn("messages", F.from_json(F.lit('[{"role":"user","content":"hi"}]'), talk))
+
+    def topics(p):
+        if p.startswith("topics"):
+            return '{"topics": ["x", "y", "z"]}'
+        return '{"refused_to_answer": false}' if p.startswith("refused? x") or p.startswith("refused? y") else '{"refused_to_answer": true, "classifications": [true, false]}'
+
+    got = value(judges.topic_adherence_score(d, providers.Scripted(topics), keep, "precision"))
+    assert got[1] == pytest.approx(0.5) and got[2] is None
+
+
+def test_scenarios(spark):
+    keep = lambda df: df.cache()
+    v = spark.createDataFrame([(0, "s", [1.0, 0.0]), (1, "longer", [0.9, 0.1]), (2, "other", [0.0, 1.0])], "ord int, summary string, vector array<double>")
+    assert testset.representatives(v, 3, keep) == ["longer", "other"]
+    who = testset.personas(v, 2, providers.Scripted(lambda p: '{"name": "N %s", "role_description": "r"}' % p[-5:]), keep)
+    assert [(r["ord"], r["name"]) for r in who.orderBy("ord").collect()] == [(0, "N onger"), (1, "N other")]
+    with pytest.raises(providers.ProviderError):
+        testset.personas(v, 1, providers.Scripted(lambda p: '{"name": " "}'), keep)
+    people = spark.createDataFrame([(0, "P", "r"), (1, "Q", "r")], "ord int, name string, role string")
+    edges = spark.createDataFrame([(0, "b", "a", ["Cat => cat", "Dog => dog"]), (1, "a", "b", ["Bird => bird"]), (2, "c", "c", ["x => x"])], "ord int, source_id string, target_id string, overlapped array<string>")
+    entities = spark.createDataFrame([("a", "CAT"), ("b", "cat"), ("b", "dog")], "id string, item string")
+    maps = providers.Scripted(lambda p: '{"mapping": {"Q": ["cat", "DOG"], "P": ["Cat"]}}')
+    got = testset.multi_hop_specific(edges, entities, people, 2, maps, keep).orderBy("i").collect()
+    assert [(r["node_ids"], r["combination"], r["persona"], r["style"]) for r in got] == [(["a", "b"], ["Cat"], "P", "misspelled"), (["a", "b"], ["cat"], "P", "perfect_grammar")]
+    clusters = spark.createDataFrame([(0, ["a", "b"])], "ord int, nodes array<string>")
+    child = spark.createDataFrame([(0, "b", "k", "child")], "ord int, source_id string, target_id string, relationship string")
+    themes = spark.createDataFrame([("a", ["cat"]), ("k", ["dog"])], "id string, themes array<string>")
+    both = providers.Scripted(lambda p: '{"combinations": [[], ["Cat", "dog"], ["fish"]]}' if p.startswith("at most") else '{"mapping": {"Q": ["dog"]}}')
+    got = testset.multi_hop_abstract(clusters, child, themes, people, 3, both, keep)
+    assert [(r["node_ids"], r["combination"], r["persona"]) for r in got.collect()] == [(["a", "k"], ["Cat", "dog"], "Q")]
+    nodes = spark.createDataFrame([(0, "d", "document", {"summary": "s"}), (1, "a", "chunk", {"text": "one"}), (2, "k", "chunk", {"text": "two"})], "ord int, id string, node_type string, props map<string,string>")
+    told = testset.scenario_samples(got, nodes, people, providers.Scripted(lambda p: '{"query": "q", "answer": "%d"}' % p.count("-hop>")), keep, "multi_hop_abstract").collect()
+    assert [(r["reference"], r["reference_contexts"]) for r in told] == [("2", ["<1-hop>\n\none", "<2-hop>\n\ntwo"])]
+    links = spark.createDataFrame([(0, "d", "a", "contains"), (1, "d", "k", "contains"), (2, "a", "k", "next")], "ord int, source_id string, target_id string, relationship string")
+    n, e = testset.filter_chunks(nodes, links, providers.Scripted(lambda p: '{"score": 2.4}' if p.endswith("two") else '{"score": 3}'), keep)
+    assert sorted(r["id"] for r in n.collect()) == ["a", "d"] and [r["ord"] for r in e.collect()] == [0]
