@@ -223,7 +223,8 @@ def read_archives(manifest: DataFrame, work: Workspace) -> DataFrame:
         _check(page, payload_of(block))
         return first.drop(columns=["origin", "segment", "total", "block"])
 
-    files = manifest.repartition("uri")
+    # A stated number of partitions: adaptive execution would merge so few bytes into one task.
+    files = manifest.repartition(max(1, manifest.count()), "uri")
     pieces = work.keep(files.select("uri").mapInArrow(scan, _PIECE), "pieces")
     names = [f.split()[0] for f in PAGE.split(", ")]
     one = pieces.where("origin is null").select(*names)
