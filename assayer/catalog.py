@@ -170,13 +170,13 @@ def hamming_names(spark, d):
 
 def _retrieval(spark, d):
     """Per conversation its turns as retrieved contexts, and two passages as reference contexts."""
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.left(x["text"], F.lit(200))).alias("ctx"))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("ctx"))
     b = table(spark, d, "benchmark")
     n = b.count()
     b = F.broadcast(b.select("item_id", F.col("text").alias("ref")))
     one = c.join(b, F.pmod("conv_id", F.lit(n)) == b["item_id"]).drop("item_id").withColumnRenamed("ref", "r1")
     two = one.join(b, F.pmod(F.col("conv_id") + 1, F.lit(n)) == b["item_id"]).drop("item_id")
-    return two.select("conv_id", "ctx", F.array(F.left("r1", F.lit(200)), F.left("ref", F.lit(200)), F.element_at("ctx", 1)).alias("refs"))
+    return two.select("conv_id", "ctx", F.array("r1", "ref", F.element_at("ctx", 1)).alias("refs"))
 
 
 _RETRIEVAL = """WITH c AS (SELECT conv_id, list(substr(text, 1, 200) ORDER BY turn, text) AS ctx FROM conversations GROUP BY conv_id), n AS (SELECT count(*) AS n FROM benchmark),
