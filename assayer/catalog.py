@@ -258,11 +258,10 @@ def datacompy_lineitem(spark, d):
 
 
 def _calls(spark, d):
-    """Per user the first five events as tool calls, and those of the next user as expected ones."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("k", F.row_number().over(w)).where("k <= 5")
+    """Per user all events as tool calls, and those of the next user as expected ones."""
+    e = table(spark, d, "events")
     key = F.concat("event_type", F.lit("|"), (F.floor(F.col("value")) % 3).cast("string"))
-    u = e.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", key.alias("c")))), lambda x: x["c"]).alias("calls"))
+    u = e.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", key.alias("c")))), lambda x: x["c"]).alias("calls"))
     return u.withColumnRenamed("calls", "act").join(u.select((F.col("user_id") - 1).alias("user_id"), F.col("calls").alias("exp")), "user_id")
 
 

@@ -1,5 +1,7 @@
 """Registered queries over whole inputs, against brute force of the test's own."""
 
+from collections import Counter
+
 import duckdb
 
 from assayer import catalog
@@ -33,3 +35,17 @@ def test_retrieval_compares_whole_texts(spark, small):
     assert {r["conv_id"]: r["score"] for r in catalog.QUERIES["non_llm_context_precision"](spark, small).collect()} == precision
     assert {r["conv_id"]: r["score"] for r in catalog.QUERIES["non_llm_context_recall"](spark, small).collect()} == recall
     assert all(len(t) > 200 for r in catalog._retrieval(spark, small).collect() for t, whole in zip(r["ctx"], turns[r["conv_id"]], strict=True) if len(whole) > 200)
+
+
+def test_tool_calls_score_every_event(spark, small):
+    calls, strict, unordered = {}, {}, {}
+    for u, c in sql(small, "SELECT user_id, event_type || '|' || (floor(value)::BIGINT % 3)::VARCHAR FROM '@/events.parquet' ORDER BY user_id, ts, event_id"):
+        calls.setdefault(u, []).append(c)
+    assert max(map(len, calls.values())) > 5
+    for u, act in calls.items():
+        if exp := calls.get(u + 1):
+            hits, most = (Counter(act) & Counter(exp)).total(), max(len(act), len(exp))
+            strict[u] = round(sum(x == y for x, y in zip(act, exp)) / most, 6)  # noqa: B905
+            unordered[u] = (round(hits / most, 6), round(2 * hits / (len(act) + len(exp)), 6))
+    assert {r["user_id"]: r["score"] for r in catalog.QUERIES["tool_call_accuracy_strict"](spark, small).collect()} == strict
+    assert {r["user_id"]: (r["accuracy"], r["f1"]) for r in catalog.QUERIES["tool_call_unordered"](spark, small).collect()} == unordered
