@@ -354,8 +354,7 @@ _EDGES = "e AS (SELECT DISTINCT c_nationkey AS s, (c_custkey % 25)::INT AS t FRO
 @query(f"""WITH {_EDGES}, p AS (SELECT [s, t] AS p, t FROM b UNION ALL SELECT [x.s, x.t, y.t], y.t FROM b x JOIN b y ON x.t = y.s AND y.t <> x.s)
 SELECT DISTINCT list_sort(p) AS nodes FROM p""")
 def indirect_cluster_paths(spark, d):
-    e = table(spark, d, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("source_id"), (F.col("c_custkey") % 25).cast("int").alias("target_id"))
-    return G.path_sets(e, 3)
+    return G.path_sets(_graph(spark, d)[1], 3)
 
 
 def _scores(spark, d):

@@ -1,6 +1,7 @@
 """Registered queries over whole inputs, against brute force of the test's own."""
 
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 
@@ -49,3 +50,13 @@ def test_tool_calls_score_every_event(spark, small):
             unordered[u] = (round(hits / most, 6), round(2 * hits / (len(act) + len(exp)), 6))
     assert {r["user_id"]: r["score"] for r in catalog.QUERIES["tool_call_accuracy_strict"](spark, small).collect()} == strict
     assert {r["user_id"]: (r["accuracy"], r["f1"]) for r in catalog.QUERIES["tool_call_unordered"](spark, small).collect()} == unordered
+
+
+def test_paths_run_over_every_customer(spark, small):
+    near = {}
+    for n, c in sql(small, "SELECT 'n' || c_nationkey, 'c' || c_custkey FROM '@/customer.parquet'"):
+        near.setdefault(n, set()).add(c)
+    want = {frozenset((n, c)) for n, cs in near.items() for c in cs} | {frozenset((n, *p)) for n, cs in near.items() for p in combinations(cs, 2)}
+    got = [r["nodes"] for r in catalog.QUERIES["indirect_cluster_paths"](spark, small).collect()]
+    assert all(x == sorted(x) for x in got)
+    assert len(got) == len(want) and {frozenset(x) for x in got} == want
