@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-Pages are parsed into light trees of elements. For each host a few pages, those with the least hash,
-are exemplars; every page of the host is aligned to each of them by simple tree matching, and each
+Pages are parsed into light trees of elements. For each host two pages, those with the least and the
+greatest hash, are exemplars; every page of the host, of any length but copies only once, is aligned to each of them by simple tree matching, and each
 task sums, per exemplar node, how often it was matched and how often with the same text. These sums
 (a few numbers per node of an exemplar) make the host's wrapper: matched nodes whose text hardly
 varies are template, varying slots are content. A page's content slots are then read off, without
@@ -10,7 +10,7 @@ adverts, forms, comments, scripts. No task holds a host: pages stay where they a
 
 Defined cases: a null, empty or blank page has an empty text; pages with a null url or without a host
 form one group without wrapper and are read by element names alone, as are hosts with fewer than
-``least_pages`` pages; repeated rows each get their row; unclosed and stray tags are tolerated; an
+``least_pages`` different pages; repeated rows each get their row; unclosed and stray tags are tolerated; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -145,35 +145,51 @@ def own_text(node: Node) -> str:
 
 def align(a: Node, b: Node, wide: int = 40) -> list[tuple[Node, Node]]:
     """Pairs of nodes matched by simple tree matching: equal roots, then the best order-preserving
-    matching of their children, level by level. Long runs of like-named children are matched one to
-    one from the front, so that the cost stays linear in the page."""
+    matching of their children, level by level. Runs of like-named children are matched one to one
+    from the front and the back; between them all children are compared, in lists longer than
+    ``wide`` each with those ``wide`` places around its own, so that the cost stays linear in the page."""
     out, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
         out.append((x, y))
         ks, ls = ([k for k in z.kids if isinstance(k, Node)] for z in (x, y))
-        while ks and ls and ks[0].tag == ls[0].tag and ks[0].hint == ls[0].hint:
-            todo.append((ks.pop(0), ls.pop(0)))
+        front = 0
+        while front < min(len(ks), len(ls)) and ks[front].tag == ls[front].tag and ks[front].hint == ls[front].hint:
+            front += 1
+        todo += zip(ks[:front], ls[:front], strict=True)
+        ks, ls = ks[front:], ls[front:]
         tail = []
         while ks and ls and ks[-1].tag == ls[-1].tag and ks[-1].hint == ls[-1].hint:
             tail.append((ks.pop(), ls.pop()))
         todo += tail
-        ks, ls = ks[:wide], ls[:wide]
         if not ks or not ls:
             continue
-        best = [[0] * (len(ls) + 1) for _ in range(len(ks) + 1)]
         same = lambda k, q: k.tag == q.tag and (k.hint == q.hint or not k.hint or not q.hint)
         size = lambda k, q: 1 + min(len(k.kids), len(q.kids))
-        for i in range(len(ks) - 1, -1, -1):
-            for j in range(len(ls) - 1, -1, -1):
-                hit = best[i + 1][j + 1] + size(ks[i], ls[j]) if same(ks[i], ls[j]) else 0
-                best[i][j] = max(hit, best[i + 1][j], best[i][j + 1])
+        # Row i of best starts at column low[i]: the whole row of a short list, else a band.
+        n, m = len(ks), len(ls)
+        band = m if max(n, m) <= wide else wide + m // n + 1
+        low = [max(0, i * m // n - band) for i in range(n + 1)]
+        best = [[0] * (min(m, i * m // n + band) - low[i] + 1) for i in range(n + 1)]
+
+        def at(i: int, j: int) -> int:
+            j = max(j - low[i], 0)
+            return best[i][j] if j < len(best[i]) else 0
+
+        for i in range(n - 1, -1, -1):
+            row, lo, k, last = best[i], low[i], ks[i], 0
+            down = best[i + 1][:1] * (low[i + 1] - lo) + best[i + 1] + [0]  # the row below from column lo on
+            for c in range(len(row) - 1, -1, -1):
+                last = max(last, down[c])
+                if c + lo < m and same(k, ls[c + lo]):
+                    last = max(last, down[c + 1] + size(k, ls[c + lo]))
+                row[c] = last
         i = j = 0
-        while i < len(ks) and j < len(ls):
-            if same(ks[i], ls[j]) and best[i][j] == best[i + 1][j + 1] + size(ks[i], ls[j]):
+        while i < n and j < m:
+            if same(ks[i], ls[j]) and at(i, j) == at(i + 1, j + 1) + size(ks[i], ls[j]):
                 todo.append((ks[i], ls[j]))
                 i, j = i + 1, j + 1
-            elif best[i][j] == best[i + 1][j]:
+            elif at(i, j) == at(i + 1, j):
                 i += 1
             else:
                 j += 1
@@ -279,33 +295,42 @@ def _attach(pages: DataFrame, samples: DataFrame, most_bytes: int):
 
 def _counted(counts) -> pa.RecordBatch:
     keys = list(counts)
-    cols = [[k[i] for k in keys] for i in range(3)] + [[counts[k][i] for k in keys] for i in range(3)]
-    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "ex", "node", "seen", "same", "chars"])
+    cols = [[k[i] for k in keys] for i in range(3)] + [[counts[k][i] for k in keys] for i in range(2)]
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "ex", "node", "seen", "same"])
 
 
 def wrappers(work: Workspace, pages: DataFrame, least_pages: int = 8, constant_share: float = 0.9, most_bytes: int = 32 << 20) -> DataFrame:
     """(host, samples): per host its exemplars and the numbers of their template nodes.
 
-    A node is template if at least ``constant_share`` of the pages aligned to it have its text. An
-    exemplar with over half its text constant comes from copies of a page, not from a template, and
-    has no template nodes.
+    A node is template if at least ``constant_share`` of the pages aligned to it have its text. Copies
+    of a page, those whose characters outside tags and white space are the same, count as one page and
+    vote once, as what they share need not be template.
     """
-    # Per host the pages with the least and the greatest hash of their id: merged on the map side.
-    order = F.struct(F.xxhash64("page_id").alias("o"), F.col("page_id").alias("id"))
-    usable = pages.where("host <> '' and length(html) between 1 and 200000")
-    first = usable.groupBy("host").agg(F.min(order).alias("x1"), F.max(order).alias("x2"), F.count("*").alias("c")).where(F.col("c") >= least_pages)
-    picked = work.keep(first.select("host", F.explode(F.array_distinct(F.array(F.col("x1")["id"], F.col("x2")["id"]))).alias("page_id")), "picked")
-    if picked.count() <= 200_000:  # under 20 MB
-        picked = F.broadcast(picked)
+    usable = pages.where("host <> '' and length(html) > 0").withColumn("print", F.xxhash64(F.regexp_replace("html", r"<[^<>]*>|\s+", "")))
+    prints = usable.groupBy("host", "print").agg(F.min("page_id").alias("id"), F.min(F.length("html")).alias("n"), F.count("*").alias("c"))
+    prints = work.keep(prints, "prints")
+    small = lambda t: F.broadcast(t) if t.count() <= 200_000 else t  # under 20 MB
+    # Per host the pages with the least and the greatest print, merged on the map side. Long ones are
+    # exemplars only where a host has no others.
+    long = F.col("n") > 200_000
+    first, last = (F.when(F.col("id").isNotNull(), F.struct(x.alias("o"), "print", "id")) for x in (long, ~long))
+    ends = prints.groupBy("host").agg(F.min(first).alias("x1"), F.max(last).alias("x2"), F.count("*").alias("c")).where(F.col("c") >= least_pages)
+    picked = small(work.keep(ends.select("host", F.explode(F.array_distinct(F.array(F.col("x1")["id"], F.col("x2")["id"]))).alias("page_id")), "picked"))
     chosen = usable.join(picked, ["host", "page_id"]).groupBy("host", "page_id").agg(F.min("html").alias("sample"))
     empty = F.array().cast("array<int>")
     chosen = work.keep(chosen.select("host", F.struct(F.col("page_id").alias("ex"), "sample", empty.alias("nodes")).alias("s")), "exemplars")
-    met, table = _attach(usable, chosen.groupBy("host").agg(F.sort_array(F.collect_list("s")).alias("samples")), most_bytes)
+    voters = usable.select("host", "page_id", "html")
+    copies = work.keep(prints.where("c > 1").select("host", "print"), "copies")
+    if not copies.isEmpty():
+        copies = small(copies)
+        once = usable.join(copies, ["host", "print"], "left_semi").groupBy("host", "print").agg(F.min("page_id").alias("page_id"), F.min("html").alias("html"))
+        voters = usable.join(copies, ["host", "print"], "left_anti").select("host", "page_id", "html").unionByName(once.drop("print"))
+    met, table = _attach(voters, chosen.groupBy("host").agg(F.sort_array(F.collect_list("s")).alias("samples")), most_bytes)
 
     def votes(stream):
         own = _Exemplars(table)
-        counts: dict[tuple[str, int, int], list[int]] = defaultdict(lambda: [0, 0, 0])
+        counts: dict[tuple[str, int, int], list[int]] = defaultdict(lambda: [0, 0])
         for batch in stream:
             for host, page, row in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("samples").to_pylist(), strict=True):
                 found = own.of(host, row)
@@ -316,18 +341,16 @@ def wrappers(work: Workspace, pages: DataFrame, least_pages: int = 8, constant_s
                             c = counts[(host, ex, y.no)]
                             c[0] += 1
                             c[1] += own_text(x) == t
-                            c[2] = len(t)
             if len(counts) > 200_000:
                 yield _counted(counts)
                 counts.clear()
         yield _counted(counts)
 
-    tally = met.select("host", "html", "samples").mapInArrow(votes, "host string, ex long, node int, seen long, same long, chars long")
-    tally = tally.groupBy("host", "ex", "node").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"), F.max("chars").alias("chars"))
+    tally = met.select("host", "html", "samples").mapInArrow(votes, "host string, ex long, node int, seen long, same long")
+    tally = tally.groupBy("host", "ex", "node").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
     fixed = (F.col("seen") >= least_pages) & (F.col("same") >= F.col("seen") * constant_share)
     # At most the nodes of one page.
-    nodes = tally.groupBy("host", "ex").agg(F.sort_array(F.collect_list(F.when(fixed, F.col("node")))).alias("nodes"), F.sum(F.when(fixed, F.col("chars"))).alias("c"), F.sum("chars").alias("all"))
-    nodes = nodes.where((F.size("nodes") > 0) & (F.col("c") * 2 <= F.col("all"))).select("host", "ex", "nodes")
+    nodes = tally.groupBy("host", "ex").agg(F.sort_array(F.collect_list(F.when(fixed, F.col("node")))).alias("nodes")).where(F.size("nodes") > 0)
     known = chosen.select("host", F.col("s")["ex"].alias("ex"), F.col("s")["sample"].alias("sample")).join(nodes, ["host", "ex"])
     return work.keep(known.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("ex", "sample", "nodes"))).alias("samples")), "wrappers")
 

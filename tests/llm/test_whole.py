@@ -1,0 +1,46 @@
+"""Whole jobs of the training-data operators: what a cut, a switch or a key by id would lose."""
+
+import random
+
+import pytest
+
+from assayer.llm import html_extract
+
+
+def texts_of(spark, pages, **kw):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_extract.extract_pages(df, **kw).collect()}
+
+
+@pytest.mark.parametrize("most_bytes", [32 << 20, 0])
+def test_html_template_longer_than_the_articles(spark, most_bytes):
+    legal = "Terms that every page of this site repeats. " * 20
+    page = "<html><body><div>Site name</div><div><p>story {i}</p></div><div>{legal}</div></body></html>"
+    pages = [(i, f"https://s.example/{i}", page.format(i=i, legal=legal)) for i in range(12)]
+    assert texts_of(spark, pages, most_bytes=most_bytes) == {i: f"story {i}" for i in range(12)}
+
+
+def test_html_copies_of_a_page_are_no_template(spark):
+    page = "<html><body><div>Site name</div><div><p>the same story</p></div></body></html>"
+    assert set(texts_of(spark, [(i, f"https://s.example/{i}", page.replace("<p>", f"<p title='{i}'>")) for i in range(20)]).values()) == {"Site name\n\nthe same story"}
+    other = "<html><body><div>Site name</div><div><p>story {i}</p></div></body></html>"
+    pages = [(i, f"https://s.example/{i}", page) for i in range(200)] + [(i, f"https://s.example/{i}", other.format(i=i)) for i in range(200, 212)]
+    assert texts_of(spark, pages) == {i: "the same story" if i < 200 else f"story {i}" for i in range(212)}
+
+
+def test_html_long_pages_have_a_wrapper(spark):
+    page = "<html><body><div>Site name</div><div><p>{i} {long}</p></div></body></html>"
+    got = texts_of(spark, [(i, f"https://s.example/{i}", page.format(i=i, long="word " * 50_000)) for i in range(9)])
+    assert not any("Site name" in t for t in got.values())
+
+
+def test_html_aligns_all_children():
+    rng = random.Random(5)
+    names = ["p", "div", "table", "pre"]
+    kids = [rng.choice(names) for _ in range(300)]
+    a = html_extract.parse("<h1>x</h1>" + "".join(f"<{t}>{i}</{t}>" for i, t in enumerate(kids)) + "<h2>y</h2>")
+    b = html_extract.parse("<h3>z</h3>" + "".join(f"<{t}>{i}</{t}>" for i, t in enumerate(kids) if i % 50) + "<h4>w</h4>")
+    got = {(html_extract.own_text(x), html_extract.own_text(y)) for x, y in html_extract.align(a, b)}
+    assert sum(x == y != "" for x, y in got) >= 0.9 * 294
+    wide = html_extract.parse("<h1>x</h1>" + "<p>a</p>" * 20_000 + "<h2>y</h2>")
+    assert len(html_extract.align(wide, html_extract.parse("<h3>z</h3>" + "<p>a</p>" * 20_000))) == 20_001
