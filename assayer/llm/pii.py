@@ -28,7 +28,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}))")
+_WORD = re.compile(r"[A-Za-z0-9]")
+# Characters of an account number by country, as registered.
+_LENGTHS = {
+    k: n
+    for n, ks in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for k in ks.split()
+}
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _MAC = re.compile(r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abp]-[A-Za-z0-9-]{10,80})(?![A-Za-z0-9_])")
@@ -99,9 +110,29 @@ def phones(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _PHONE.finditer(text) if 9 <= len(_DIGIT.findall(m.group())) <= 15] if "+" in text else []
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers of their country's length; where that is not known, up to the last end of a
+    group that passes. What follows a number, in capitals or digits, is not taken into it."""
+    out, at = [], 0
+    while m := _IBAN.search(text, at):
+        at = m.end()
+        known, n = _LENGTHS.get(m[1]), 4
+        ends = []
+        for i in range(m.end(), m.end(2)):
+            n += text[i] != " "
+            if n == (known or n) and text[i] != " " and not _WORD.match(text, i + 1):
+                ends.append(i + 1)
+        for e in reversed(ends):
+            if mod97(text[m.start() : e]):
+                out.append((m.start(), e))
+                at = e
+                break
+    return out
+
+
 def _further(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, checksum's part of the score) for the added kinds."""
-    out = [("iban", *m.span(), 0.5) for m in _IBAN.finditer(text) if mod97(m.group())]
+    out = [("iban", *x, 0.5) for x in ibans(text)]
     if "-" in text:
         for m in _SSN.finditer(text):
             if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from assayer.llm import html_extract
+from assayer.llm import html_extract, pii
 
 
 def texts_of(spark, pages, **kw):
@@ -44,3 +44,13 @@ def test_html_aligns_all_children():
     assert sum(x == y != "" for x, y in got) >= 0.9 * 294
     wide = html_extract.parse("<h1>x</h1>" + "<p>a</p>" * 20_000 + "<h2>y</h2>")
     assert len(html_extract.align(wide, html_extract.parse("<h3>z</h3>" + "<p>a</p>" * 20_000))) == 20_001
+
+
+def test_pii_account_numbers_end_where_their_country_says():
+    number = "DE89370400440532013000"
+    for t in ("IBAN DE89370400440532013000 BIC COBADEFF", "DE89 3704 0044 0532 0130 00 EUR 50", "DE89370400440532013000 5 days", "AB12 DE89370400440532013000", number + " " + number):
+        got = [t[a:b].replace(" ", "") for k, a, b, _ in pii.find(t) if k == "iban"]
+        assert got == [number] * t.replace(" ", "").count(number), t
+    assert not any(k == "iban" for k, *_ in pii.find(number + "5"))
+    check = next(f"{i:02}" for i in range(2, 99) if pii.mod97(f"ZZ{i:02}12345678901234"))  # a country without a known length
+    assert pii.ibans(f"ZZ{check} 1234 5678 9012 34 PAID") == [(0, 22)]
