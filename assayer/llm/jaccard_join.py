@@ -17,7 +17,8 @@ Shingles are 64-bit hashes of the words. Only integers are shuffled, never text.
 
 Defined cases: no words (null, empty or blank text) means an empty set that links with nothing;
 fewer words than k are one shingle of all of them; a doc_id given twice with different texts is one
-node per text, and both belong to the components of either; a null doc_id gets a null component and
+node per text, each in the component of its own text, and components of the same least doc_id have
+the same name; a null doc_id gets a null component and
 gives no name to one; ties and repeated rows share a component; an empty table gives no rows; other
 columns are ignored.
 """
@@ -31,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Workspace
 from .components import components
@@ -156,6 +158,12 @@ def _slices(lists: list[np.ndarray], cells: int = 4_000_000):
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, front: float = 0.25, block_nodes: int = 1200, block_shingles: int = 600_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs. Two sets link when
     100 * intersection >= percent * union."""
+    return _components(docs, k, percent, front, block_nodes, block_shingles).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, k: int, percent: int, front: float = 0.25, block_nodes: int = 1200, block_shingles: int = 600_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node, head): node is the fingerprint of the row's set and
+    head that of the set that names the component, which two components of one name do not share."""
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -209,12 +217,13 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, front: fl
 
     # 5. Names: the least doc_id of a component.
     member = nodes.select("node", "rep").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least_ids = member.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("c"))
-    moved = member.join(least_ids, "root").where("component_id <> rep").select("node", "component_id")
+    least_ids = member.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("least"))
+    least_ids = least_ids.select("root", F.col("least")["rep"].alias("component_id"), F.col("least")["node"].alias("head"))
+    moved = member.join(least_ids, "root").where("head <> node").select("node", "component_id", "head")
     copied = nodes.where("copies > 1").select("node", "rep")
-    names = work.keep(copied.join(moved, "node", "full").select("node", F.coalesce("component_id", "rep").alias("component_id")), "names")
+    names = work.keep(copied.join(moved, "node", "full").select("node", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("head", "node").alias("head")), "names")
     done = ids.join(names, "node", "left")
-    return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+    return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"), "node", F.coalesce("head", "node").alias("head"))
 
 
 def _bitmap(alive: DataFrame) -> bytes:
@@ -228,15 +237,31 @@ def _bitmap(alive: DataFrame) -> bytes:
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, most_broadcast: int = 500_000) -> DataFrame:
-    """The rows of docs that name their component; of rows that repeat a doc_id, one. Rows with a
-    null doc_id stay. Texts are shuffled only where the ids to leave out are too many to broadcast
-    (``most_broadcast`` of them take some 10 MB)."""
+    """The rows of docs that name their component; of rows that repeat a doc_id and a set of
+    shingles, one. Rows with a null doc_id stay. A doc_id decides for its rows where they have one
+    set; the rows of other ids are told apart by their sets. Texts are shuffled only where the ids to
+    leave out are too many to broadcast (``most_broadcast`` of them take some 10 MB)."""
     work = Workspace(docs.sparkSession, "kept")
-    found = work.keep(jaccard_components(docs, k, percent), "components").where("doc_id is not null")
-    gone = work.keep(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    twice = work.keep(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    found = work.keep(_components(docs, k, percent), "components").where("doc_id is not null")
+    left_out = F.when(F.col("component_id") == F.col("doc_id"), F.col("head") != F.col("node")).otherwise(F.lit(True))
+    ids = work.keep(found.groupBy("doc_id").agg(F.count("*").alias("c"), (F.min("node") != F.max("node")).alias("mixed"), F.max(left_out).alias("gone")).where("c > 1 or gone"), "decided")
+    gone, twice, mixed = (ids.where(x).select("doc_id") for x in ("gone and not mixed", "c > 1 and not mixed and not gone", "mixed"))
     small = lambda t: F.broadcast(t) if t.count() <= most_broadcast else t
     kept = docs.join(small(gone), "doc_id", "left_anti")
-    if twice.isEmpty():
+    if not twice.isEmpty():
+        t = small(twice)
+        kept = kept.join(t, "doc_id", "left_anti").unionByName(kept.join(t, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    if mixed.isEmpty():
         return kept
-    return kept.join(small(twice), "doc_id", "left_anti").unionByName(kept.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    t = small(mixed)
+    pairs = work.keep(found.join(t, "doc_id", "left_semi").where(left_out).select("doc_id", F.col("node").alias("_node")).distinct(), "pairs")
+    told = docs.join(t, "doc_id", "left_semi").withColumn("text", F.col("text").cast("string"))
+    told = told.mapInArrow(lambda it: _with_nodes(it, k), StructType([*told.schema.fields, StructField("_node", LongType())]))
+    told = told.join(small(pairs), ["doc_id", "_node"], "left_anti").dropDuplicates(["doc_id", "_node"])
+    return kept.join(t, "doc_id", "left_anti").unionByName(told.drop("_node"))
+
+
+def _with_nodes(stream: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in stream:
+        names = np.array([set_name(shingle_hashes(t.as_py(), k)) for t in batch.column("text")], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names)], [*batch.schema.names, "_node"])

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from assayer.llm import html_extract, pii
+from assayer.llm import html_extract, jaccard_join, pii
 
 
 def texts_of(spark, pages, **kw):
@@ -46,6 +46,15 @@ def test_html_aligns_all_children():
     assert len(html_extract.align(wide, html_extract.parse("<h3>z</h3>" + "<p>a</p>" * 20_000))) == 20_001
 
 
+def test_jaccard_keeps_one_row_of_each_text_group(spark):
+    words = lambda n: " ".join(f"{n}{i}" for i in range(60))
+    a, b, c = words("a"), words("b"), words("c")
+    docs = [(1, a), (5, a + " end"), (5, b), (7, b), (8, b + " end"), (9, c), (9, c), (9, words("d")), (10, ""), (None, a)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in jaccard_join.keep_one_of_each(df, 5, 80).collect())
+    assert kept == [(0, a), (1, a), (5, b), (9, c), (9, words("d")), (10, "")]
+
+
 def test_pii_account_numbers_end_where_their_country_says():
     number = "DE89370400440532013000"
     for t in ("IBAN DE89370400440532013000 BIC COBADEFF", "DE89 3704 0044 0532 0130 00 EUR 50", "DE89370400440532013000 5 days", "AB12 DE89370400440532013000", number + " " + number):
