@@ -10,7 +10,8 @@
 4. Candidate groups are split by components and, where large, into blocks; pairs of blocks are
    verified in one task each: groups are filtered by size and shared prefix, then expanded, and the
    overlap of all members is computed at once by a sparse-column matrix product. A task returns a
-   spanning forest of its links, so the rows stay linear however many pairs link.
+   spanning forest of its links and how many each member has, so the rows stay linear however many
+   pairs link.
 5. The forests' components are those of the links.
 
 Shingles are 64-bit hashes of the words. Only integers are shuffled, never text.
@@ -92,9 +93,10 @@ def _shared(rows: DataFrame, by: str) -> DataFrame:
 
 
 def _verify(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Links between the members of two blocks (or within one), as a forest of (node, root).
+    """Links between the members of two blocks (or within one): per member that links (a) the root of
+    its tree (b, null for the root) and the number of documents it links with (links).
 
-    Columns: node, grp, side (0 or 1), sig, pref. Overlaps are counted over the shingles that at
+    Columns: node, named, grp, side (0 or 1), sig, pref. Overlaps are counted over the shingles that at
     least two members have, in column slices of bounded size.
     """
     n = len(pdf)
@@ -132,8 +134,10 @@ def _verify(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
             break
         root = new
     nodes = pdf["node"].to_numpy()
-    keep = root != np.arange(n)
-    return pd.DataFrame({"a": nodes[keep], "b": nodes[root[keep]]})
+    keep = link.any(axis=1)
+    tree = pd.array(nodes[root[keep]], dtype="Int64")
+    tree[(root == np.arange(n))[keep]] = pd.NA
+    return pd.DataFrame({"a": nodes[keep], "b": tree, "links": (link[keep] @ pdf["named"].to_numpy(np.int64)).astype(np.int64)})
 
 
 def _slices(lists: list[np.ndarray], cells: int = 4_000_000):
@@ -155,14 +159,16 @@ def _slices(lists: list[np.ndarray], cells: int = 4_000_000):
         yield step, (own[a:b], col[a:b] - lo)
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, front: float = 0.25, block_nodes: int = 1200, block_shingles: int = 600_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, front: float = 0.25, block_nodes: int = 1200, block_shingles: int = 600_000, links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs. Two sets link when
-    100 * intersection >= percent * union."""
-    return _components(docs, k, percent, front, block_nodes, block_shingles).select("doc_id", "n_shingles", "component_id")
+    100 * intersection >= percent * union. With links also n_links, the number of other rows with a
+    doc_id that link with the row; null for a null doc_id."""
+    found = _components(docs, k, percent, front, block_nodes, block_shingles)
+    return found.select("doc_id", "n_shingles", "component_id", *["n_links"] * links)
 
 
 def _components(docs: DataFrame, k: int, percent: int, front: float = 0.25, block_nodes: int = 1200, block_shingles: int = 600_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node, head): node is the fingerprint of the row's set and
+    """(doc_id, n_shingles, component_id, node, head, n_links): node is the fingerprint of the row's set and
     head that of the set that names the component, which two components of one name do not share."""
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
@@ -171,18 +177,18 @@ def _components(docs: DataFrame, k: int, percent: int, front: float = 0.25, bloc
     seen = work.keep(texts.mapInArrow(lambda it: _signatures(it, k, edge), "doc_id long, n long, node long, low array<long>"), "front")
     ids = work.keep(seen.select("doc_id", "n", "node"), "ids")
     least = F.ceil(F.col("n") * percent / F.lit(100.0) - F.lit(1e-9))
-    nodes = work.keep(seen.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first(F.size("low")).alias("n_low")), "nodes")
+    nodes = work.keep(seen.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.count("doc_id").alias("named"), F.first("n").alias("n"), F.first(F.size("low")).alias("n_low")), "nodes")
 
     # 2. Whoever has enough shingles of its own among the front ones links with nothing.
     low = seen.where("n > 0").select("node", F.explode("low").alias("h"))
     met = low.join(_shared(low, "node"), "h").groupBy("node").agg(F.count("*").alias("met"))
     need = (F.col("n") - least + 1).cast("long")
-    alive = nodes.join(met, "node", "left").where(F.col("n_low") - F.coalesce("met", F.lit(0)) / F.col("copies") < need).where("rep is not null").select("node", "rep", "n")
+    alive = nodes.join(met, "node", "left").where(F.col("n_low") - F.coalesce("met", F.lit(0)) / F.col("copies") < need).where("rep is not null").select("node", "rep", "n", "named")
     alive = work.keep(alive, "alive")
     work.drop(seen)
     bits = spark.sparkContext.broadcast(_bitmap(alive))
     sets = texts.mapInArrow(lambda it: _sets(it, k, bits), "doc_id long, _node long, sig array<long>")
-    named = sets.join(alive, (sets["_node"] == alive["node"]) & (sets["doc_id"] == alive["rep"])).select("node", "n", "sig").dropDuplicates(["node"])
+    named = sets.join(alive, (sets["_node"] == alive["node"]) & (sets["doc_id"] == alive["rep"])).select("node", "n", "named", "sig").dropDuplicates(["node"])
     sets = work.keep(named, "sets")
 
     # 3. Rarest shingles first; what only one node has links it with nothing.
@@ -209,21 +215,23 @@ def _components(docs: DataFrame, k: int, percent: int, front: float = 0.25, bloc
     placed = placed.join(load, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("node", "grp", "pref", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    full = pairs.join(sets.select("node", "sig"), "node")
-    links = full.groupBy("root", "i", "j").applyInPandas(lambda pdf: _verify(pdf, percent, 100), "a long, b long")
+    full = pairs.join(sets.select("node", "named", "sig"), "node")
+    links = full.groupBy("root", "i", "j").applyInPandas(lambda pdf: _verify(pdf, percent, 100), "a long, b long, links long")
     links = work.keep(links, "links")
     work.drop(sets, prefixes)
-    member = components(work, links)
+    member = components(work, links.where("b is not null").select("a", "b"))
+    counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
 
     # 5. Names: the least doc_id of a component.
     member = nodes.select("node", "rep").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_ids = member.groupBy("root").agg(F.min(F.struct("rep", "node")).alias("least"))
     least_ids = least_ids.select("root", F.col("least")["rep"].alias("component_id"), F.col("least")["node"].alias("head"))
     moved = member.join(least_ids, "root").where("head <> node").select("node", "component_id", "head")
-    copied = nodes.where("copies > 1").select("node", "rep")
-    names = work.keep(copied.join(moved, "node", "full").select("node", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("head", "node").alias("head")), "names")
+    copied = nodes.where("copies > 1").select("node", "rep", "named")
+    n_links = (F.greatest(F.coalesce("named", F.lit(1)) - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links")
+    names = work.keep(copied.join(moved, "node", "full").join(counts, "node", "full").select("node", n_links, F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("head", "node").alias("head")), "names")
     done = ids.join(names, "node", "left")
-    return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"), "node", F.coalesce("head", "node").alias("head"))
+    return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"), "node", F.coalesce("head", "node").alias("head"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0)).alias("n_links"))
 
 
 def _bitmap(alive: DataFrame) -> bytes:

@@ -50,7 +50,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85, links=True)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,20 @@ def test_pii_account_numbers_end_where_their_country_says():
     assert not any(k == "iban" for k, *_ in pii.find(number + "5"))
     check = next(f"{i:02}" for i in range(2, 99) if pii.mod97(f"ZZ{i:02}12345678901234"))  # a country without a known length
     assert pii.ibans(f"ZZ{check} 1234 5678 9012 34 PAID") == [(0, 22)]
+
+
+def test_jaccard_counts_links(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    docs = [(None, " ".join(base)), (900, ""), (901, "alone here")]
+    for i in range(80):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10_000)}"
+        docs.append((i, " ".join(t)))
+    sets = [(i, set(zip(*(t.split()[j:] for j in range(4)), strict=False))) for i, t in docs if i is not None and i < 900]
+    want = {i: sum(100 * len(x & y) >= 85 * len(x | y) for j, y in sets if j != i) for i, x in sets} | {900: 0, 901: 0, None: None}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for nodes in (20, 1200):
+        got = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_components(df, 4, 85, block_nodes=nodes, links=True).collect()}
+        assert got == want
