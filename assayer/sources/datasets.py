@@ -85,7 +85,7 @@ def write_csv(df: DataFrame, path: str) -> None:
     """Single-turn samples only; metadata keys are the union over all rows, sorted."""
     if "sample_type" in df.columns and not df.where("sample_type <> 'single_turn'").isEmpty():
         raise DatasetError("multi-turn samples cannot be written as CSV")
-    keys = [r[0] for r in df.select(F.explode(F.map_keys("metadata"))).distinct().orderBy(F.col("col")).limit(1000).toLocalIterator()]
+    keys = [r[0] for r in df.select(F.explode(F.map_keys("metadata"))).distinct().orderBy(F.col("col")).toLocalIterator()]
     cols = ["user_input", "response", F.to_json("retrieved_contexts").alias("retrieved_contexts"), "reference"]
     df.select(*cols, *[F.col("metadata")[k].alias(f"metadata.{k}") for k in keys]).write.option("header", True).option("escape", '"').csv(path)
 

@@ -6,6 +6,7 @@ from itertools import combinations
 import duckdb
 
 from assayer import catalog
+from assayer.sources import datasets
 
 
 def sql(small, text):
@@ -60,3 +61,10 @@ def test_paths_run_over_every_customer(spark, small):
     got = [r["nodes"] for r in catalog.QUERIES["indirect_cluster_paths"](spark, small).collect()]
     assert all(x == sorted(x) for x in got)
     assert len(got) == len(want) and {frozenset(x) for x in got} == want
+
+
+def test_csv_has_every_metadata_key(spark, tmp_path):
+    df = spark.range(1).selectExpr("'q' user_input", "'a' response", "array('c') retrieved_contexts", "'r' reference", "map_from_entries(transform(sequence(1, 1005), i -> struct(concat('k', i) as k, string(i) as v))) metadata")
+    datasets.write_csv(df, str(tmp_path / "out"))
+    head = next((tmp_path / "out").glob("*.csv")).read_text().splitlines()[0]
+    assert head.count("metadata.k") == 1005
