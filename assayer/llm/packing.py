@@ -2,7 +2,7 @@
 
 Each document becomes its ids plus an end id; only documents over ``limit`` are cut, into pieces of
 exactly ``limit`` and one rest. Pieces (a few integers each, no text) are dealt by a hash of their
-place into shards of about ``shard_rows`` pieces, and each shard is packed in one task: fill greedily
+place in the table into shards of about ``shard_rows`` pieces, and each shard is packed in one task: fill greedily
 with the longest piece that fits, then swap the smallest piece of the sequence for two unpacked ones
 that fill the widened gap more tightly. The least filled sequences of all shards are packed again,
 so that sharding costs no rows. The number of shards grows with the data; a task never does.
@@ -115,7 +115,8 @@ def _pack_shards(pieces: DataFrame, limit: int, shards: int, level: int, leave:
         base = (level << 60) + (int(pdf["shard"].iloc[0]) << 28)
         return pdf.drop(columns="shard").assign(sequence_id=base + seq, offset=off, left=left)
 
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
+    # By the place in the kept table, as any number of rows may be equal.
+    key = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
     return pieces.withColumn("shard", key).groupBy("shard").applyInPandas(pack, PIECES + ", sequence_id long, offset long, left boolean")
 
 

@@ -3,12 +3,13 @@
 A file holds the documents of one task: a frequency table shared by its blocks, then blocks that can
 be decoded alone, then an index. A block codes whole documents with interleaved lanes: token t is
 coded by lane t mod lanes, all lanes advance together, and the words that the lanes emit at a step
-lie together, so decoding is vectorised too. Each block carries the lanes' final states (its
-checkpoint), its length, and checksums of the coded and the decoded bytes; the index gives every
-block's place, so blocks decode in parallel and a bad block is found by itself.
+lie together, so decoding is vectorised too. Each block carries its documents' ids and lengths and
+the lanes' final states (its checkpoint); the index gives every block's place, size, and checksums of
+its coded and decoded bytes, so blocks decode in parallel and a bad block is found by itself.
 
 File: magic, table (symbols and frequencies, zlib), blocks, index (JSON, zlib), length of the index,
-magic. All integers are little-endian.
+magic. Block: length of its list of documents, that list (JSON, zlib), coded words. All integers are
+little-endian.
 """
 
 from __future__ import annotations
@@ -126,13 +127,15 @@ class Writer:
             raw = b"".join(ids for _, ids in docs)
             ids = np.frombuffer(raw, "<u4")
             lanes = max(1, min(self.most_lanes, len(ids) // 32))
-            data = encode_block(ids, starts, freqs, lanes)
-            blocks.append({"at": at, "bytes": len(data), "n": len(ids), "lanes": lanes, "crc": zlib.crc32(data), "ids_crc": zlib.crc32(raw), "docs": [d for d, _ in docs], "lengths": [len(x) // 4 for _, x in docs]})
+            listed = zlib.compress(json.dumps([[d for d, _ in docs], [len(x) // 4 for _, x in docs]]).encode())
+            data = struct.pack("<I", len(listed)) + listed + encode_block(ids, starts, freqs, lanes)
+            blocks.append({"at": at, "bytes": len(data), "n": len(ids), "lanes": lanes, "crc": zlib.crc32(data), "ids_crc": zlib.crc32(raw)})
             self.out.write(data)
             at += len(data)
-        index = zlib.compress(json.dumps(blocks).encode())
-        self.out.write(index + struct.pack("<Q", len(index)) + MAGIC)
-        return {"head": len(head), "blocks": blocks}
+        index = {"head": len(head), "blocks": blocks}
+        packed = zlib.compress(json.dumps(index).encode())
+        self.out.write(packed + struct.pack("<Q", len(packed)) + MAGIC)
+        return index
 
     def _blocks(self) -> Iterator[list[tuple[int | None, bytes]]]:
         held, size = [], 0
@@ -160,10 +163,23 @@ class Table:
         self.starts = np.concatenate([[0], np.cumsum(freq.astype(np.int64))[:-1]]).astype(np.uint64)
         self.rank = np.repeat(np.arange(n, dtype=np.uint32), freq)
 
-    def decode(self, data: bytes, n: int, lanes: int, crc: int, ids_crc: int) -> bytes:
-        if zlib.crc32(data) != crc:
+    def decode(self, data: bytes, block: dict) -> tuple[list[int | None], list[int], bytes]:
+        """(ids of the documents, their lengths, their tokens one after the other) of a block, which
+        the index describes."""
+        if zlib.crc32(data) != block["crc"]:
             raise ValueError("a coded block fails its checksum")
-        raw = self.symbols[decode_block(data, n, lanes, self.rank, self.starts, self.freqs)].tobytes()
-        if zlib.crc32(raw) != ids_crc:
+        size = struct.unpack("<I", data[:4])[0]
+        docs, lengths = json.loads(zlib.decompress(data[4 : 4 + size]))
+        raw = self.symbols[decode_block(data[4 + size :], block["n"], block["lanes"], self.rank, self.starts, self.freqs)].tobytes()
+        if zlib.crc32(raw) != block["ids_crc"] or 4 * sum(lengths) != len(raw):
             raise ValueError("a decoded block fails its checksum")
-        return raw
+        return docs, lengths, raw
+
+
+def read_index(read_at, size: int) -> dict:
+    """The index of a file of ``size`` bytes, given read_at(offset, length)."""
+    tail = read_at(size - 16, 16)
+    if tail[8:] != MAGIC:
+        raise ValueError("not a file of coded tokens")
+    n = struct.unpack("<Q", tail[:8])[0]
+    return json.loads(zlib.decompress(read_at(size - 16 - n, n)))

@@ -1,13 +1,14 @@
 """Documents to files of coded token ids in ascending doc_id order, and back.
 
 Documents are dealt out by ranges of doc_id, so that the order of the files is that of the ids; each
-task encodes its texts, writes one file to the shared folder and reports its blocks as rows. These
+task encodes its texts, writes files to the shared folder and reports their names as rows. These
 rows are the manifest: readers go by it, so what lost or repeated attempts leave behind is never
-read. Blocks are decoded in parallel.
+read. All else comes from the files: their indexes say where the blocks are and how many ids each
+holds, and the blocks, decoded in parallel wherever they fall, name their documents.
 
 Defined cases: a null or empty text has the end id alone; null doc_ids come first; rows that repeat a
-doc_id stand together, ordered by their texts' hashes; an empty table gives no rows and no files; other
-columns are ignored.
+doc_id stand together, ordered by their texts' hashes, and may be dealt to several tasks; an empty
+table gives no rows and no files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,18 +20,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Workspace, publish, read_range
-from .rans import Table, Writer
+from .common import Workspace, open_fs, publish
+from .rans import Table, Writer, read_index
 from .tokens import encoder, text_batches
 
-MANIFEST = "part int, uri string, head long, block int, at long, bytes long, n long, lanes int, crc long, ids_crc long, before long, docs array<long>, lengths array<long>"
+MANIFEST = "part int, file int, uri string"
 
 
 def write_tokens(docs: DataFrame, uri: str, vocabulary: str, end_id: int = 2, file_tokens: int = 4 << 20) -> DataFrame:
-    """Writes the files and returns the manifest, one row per block; a lazy table: keep it once.
+    """Writes the files and returns the manifest, one row per file; a lazy table: keep it once.
 
-    ``part`` is ascending with doc_id; ``before`` counts the ids of earlier blocks of the part.
+    Files ordered by (part, file) hold the documents in ascending doc_id order.
     """
     end = end_id.to_bytes(4, "little")
 
@@ -38,19 +40,15 @@ def write_tokens(docs: DataFrame, uri: str, vocabulary: str, end_id: int = 2, fi
         enc = encoder(vocabulary)
         part = TaskContext.get().partitionId()
         held: list[tuple] = []
-        size = before = files = 0
+        size = files = 0
 
         def flush():
-            nonlocal before, files, size
-            made = {}
-            path = publish(uri, f"part-{part:06d}-{files:04d}.rans", lambda out: made.update(_write(out, held)))
-            rows = []
-            for i, b in enumerate(made["blocks"]):
-                rows.append({"part": part, "uri": path, "head": made["head"], "block": files * 100_000 + i, "before": before} | {("docs" if k == "docs" else k): v for k, v in b.items()})
-                before += b["n"]
+            nonlocal files, size
+            path = publish(uri, f"part-{part:06d}-{files:04d}.rans", lambda out: _write(out, held))
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([files], pa.int32()), "uri": [path]})
             files, size = files + 1, 0
             held.clear()
-            return pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+            return row
 
         for batch in stream:
             ids = batch.column("doc_id").to_pylist()
@@ -63,51 +61,90 @@ def write_tokens(docs: DataFrame, uri: str, vocabulary: str, end_id: int = 2, fi
         if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return rows.mapInArrow(write, MANIFEST)
+    # Hash and place tell the rows of one doc_id apart, so that they need not fall to one task.
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumns({"_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_place")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(write, MANIFEST)
 
 
-_SCHEMA = pa.schema([
-    ("part", pa.int32()), ("uri", pa.string()), ("head", pa.int64()), ("block", pa.int32()), ("at", pa.int64()), ("bytes", pa.int64()), ("n", pa.int64()),
-    ("lanes", pa.int32()), ("crc", pa.int64()), ("ids_crc", pa.int64()), ("before", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
-])
-
-
-def _write(out, held) -> dict:
+def _write(out, held) -> None:
     w = Writer(out)
     for d in held:
         w.add(*d)
-    return w.close()
+    w.close()
+
+
+class _Files:
+    """The file read last, opened once: its index, and its blocks when asked for."""
+
+    def __init__(self) -> None:
+        self.uri = self.file = self.table = None
+
+    def open(self, uri: str) -> dict:
+        if uri != self.uri:
+            self.close()
+            fs, path = open_fs(uri)
+            self.uri, self.file, self.table = uri, fs.open_input_file(path), None
+            self.index = read_index(lambda at, n: self.file.read_at(n, at), self.file.size())
+        return self.index
+
+    def block(self, uri: str, number: int) -> tuple[list[int | None], list[int], bytes]:
+        b = self.open(uri)["blocks"][number]
+        if self.table is None:
+            self.table = Table(self.file.read_at(self.index["head"], 0))
+        return self.table.decode(self.file.read_at(b["bytes"], b["at"]), b)
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+
+
+def token_blocks(manifest: DataFrame) -> DataFrame:
+    """(part, file, uri, block, n) per block, from the indexes of the manifest's files."""
+
+    def listed(stream):
+        for batch in stream:
+            files, rows = _Files(), []
+            for r in batch.to_pylist():
+                rows += [r | {"block": i, "n": b["n"]} for i, b in enumerate(files.open(r["uri"])["blocks"])]
+            files.close()
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("file", pa.int32()), ("uri", pa.string()), ("block", pa.int32()), ("n", pa.int64())]))
+
+    return manifest.mapInArrow(listed, MANIFEST + ", block int, n long")
 
 
-def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) per document, decoded from the files. ids are
-    little-endian unsigned 32-bit integers."""
+def read_tokens(blocks: DataFrame, with_ids: bool = False, tasks: int | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) per document, decoded from the files' blocks (a kept
+    table) in ``tasks`` tasks. ids are little-endian unsigned 32-bit integers."""
+    spark = blocks.sparkSession
     # One row per part: as many as there were tasks.
-    sizes = [(r["part"], r["n"]) for r in manifest.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").toLocalIterator()]
-    base = dict(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0), strict=False))
+    sizes = [(r["part"], r["n"], r["c"]) for r in blocks.groupBy("part").agg(F.sum("n").alias("n"), F.count("*").alias("c")).orderBy("part").toLocalIterator()]
+    base = dict(zip((p for p, _, _ in sizes), accumulate((n for _, n, _ in sizes), initial=0), strict=False))
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    tasks = tasks or max(1, min(sum(c for _, _, c in sizes), most))
+    w = Window.partitionBy("part").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
     def read(stream):
-        tables: dict[str, Table] = {}
+        files = _Files()
         for batch in stream:
             for b in batch.to_pylist():
-                if b["uri"] not in tables:
-                    tables = {b["uri"]: Table(read_range(b["uri"], 0, b["head"]))}
-                raw = tables[b["uri"]].decode(read_range(b["uri"], b["at"], b["bytes"]), b["n"], b["lanes"], b["crc"], b["ids_crc"])
-                ends = list(accumulate(b["lengths"], initial=0))
+                docs, lengths, raw = files.block(b["uri"], b["block"])
+                ends = list(accumulate(lengths, initial=0))
                 parts = [raw[4 * x : 4 * y] for x, y in zip(ends, ends[1:], strict=False)]
                 first = base[b["part"]] + b["before"]
-                cols = [pa.array(b["docs"], pa.int64()), pa.array([first + x for x in ends[:-1]], pa.int64()), pa.array(b["lengths"], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                cols = [pa.array(docs, pa.int64()), pa.array([first + x for x in ends[:-1]], pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     cols, names = [*cols, pa.array(parts, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        files.close()
 
     out = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return manifest.repartition("uri").sortWithinPartitions("uri", "block").mapInArrow(read, out)
+    return blocks.repartition(tasks, "uri", "block").sortWithinPartitions("uri", "block").mapInArrow(read, out)
 
 
 def store_and_read(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     work = Workspace(docs.sparkSession, "tokens")
-    return read_tokens(work.keep(write_tokens(docs, work.uri + "/files", vocabulary, end_id), "manifest"))
+    manifest = work.keep(write_tokens(docs, work.uri + "/files", vocabulary, end_id), "manifest")
+    return read_tokens(work.keep(token_blocks(manifest), "blocks"))

@@ -1,10 +1,12 @@
-"""Token ids equal to those of the tokenizers library, at several times its speed.
-
-The library encodes about one MB a second; most of that goes into offsets and normalising. Where a
-vocabulary file describes one of two plain byte-pair encoders (byte level, or lower-cased words with
-an end mark), the same merges are handed to tiktoken's merge loop instead. A text goes to the
-tokenizers library whole wherever the two could differ: characters outside the Latin ranges below,
-strings of special tokens, any other kind of file, or a file on which a self-check at load differs.
+"""Token ids by the tokenizers library, each distinct word once per worker.
+
+The library spends most of a text on words that it has encoded before. Where a vocabulary file
+describes one of two plain byte-pair encoders (byte level, or lower-cased words with an end mark),
+no token spans a certain kind of cut: for words any white space, for bytes the place before a space
+that follows no white space. Texts are cut there, the library encodes each new part, and the ids of
+short parts are kept. A text goes to the library whole where a part could be encoded otherwise
+alone: it holds the string of a special token or a character on which Python and the library may
+disagree about white space, or the file is of any other kind.
 """
 
 from __future__ import annotations
@@ -13,27 +15,29 @@ import json
 import os
 import re
 from array import array
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-# Anything but characters on which all the libraries agree about case, composition and white space.
-_UNSAFE = re.compile("[^ \\t\\n\\r\\x21-\\x7e\\u00a1-\\u00b1\\u00b4-\\u00b8\\u00ba\\u00bb\\u00bf-\\u012f\\u0131-\\u024f\\u2010-\\u2015\\u2018-\\u201f\\u2020-\\u2022\\u2026\\u20ac]")
-_BREAKS = str.maketrans("\t\n\r", "   ")
-# The patterns by which the two kinds of vocabulary split a text.
-_BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Separators that are white space to Python alone, or to some versions of Unicode alone.
+_DOUBTFUL = "\x1c\x1d\x1e\x1f\u180e\u200b\ufeff"
+# White space and a space after it: the space is then cut off only where it stands alone.
+_RUNS = [c + " " for c in map(chr, range(0x3001)) if c.isspace() and c not in _DOUBTFUL]
+_ASCII_RUNS = [r for r in _RUNS if r.isascii()]
+_CUT = re.compile(r"(?<=\S) ")
+_FIRST = "\x1c"  # marks parts without a space before them
+_BETWEEN = "~"  # new parts are encoded together with this between them
+# Fixed value: the pattern by which the second kind of vocabulary splits a text.
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-# The second one in Python's syntax, for the characters that _UNSAFE lets through.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-_END = b"\xff"  # no byte of UTF-8: marks the end of a word
-_PROBE = "It's  the o'clock, 12345 words; NAÏVE café\tüber straße!!! <html> don't\r\n\n\n re-enter a_b_c $%& x\n \n. "
 
 
 def _kind(spec: dict) -> str | None:
     pre, norm, model = spec.get("pre_tokenizer") or {}, spec.get("normalizer"), spec.get("model") or {}
-    if spec.get("post_processor") or model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix"):
+    if spec.get("post_processor") not in (None, {}) and (spec["post_processor"] or {}).get("type") != "ByteLevel":
+        return None
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix"):
         return None
     if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not model.get("end_of_word_suffix"):
         return "bytes"
@@ -44,99 +48,90 @@ def _kind(spec: dict) -> str | None:
     return None
 
 
-def _byte_chars() -> dict[str, int]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-class _Merges:
-    """The merges of a vocabulary file as tiktoken ranks, and the file's id of each rank."""
-
-    def __init__(self, model: dict, suffix: str) -> None:
-        import tiktoken
-
-        of = _byte_chars()
-
-        def raw(s: str) -> bytes:
-            end = bool(suffix) and s.endswith(suffix)
-            s = s[: -len(suffix)] if end else s
-            return bytes(of[c] for c in s) + (_END if end else b"")
-
-        ranks = {bytes([b]): b for b in range(256)}
-        if suffix:
-            ranks |= {bytes([b]) + _END: 256 + b for b in range(256)}
-        first = len(ranks)
-        for i, m in enumerate(model["merges"]):
-            a, b = m if isinstance(m, list) else m.split(" ")
-            ranks.setdefault(raw(a + b), first + i)
-        self.ids = [0] * (first + len(model["merges"]))
-        for s, i in model["vocab"].items():
-            if all(c in of for c in (s[: -len(suffix)] if suffix and s.endswith(suffix) else s)) and (r := ranks.get(raw(s))) is not None:
-                self.ids[r] = i
-        self.ids_np = np.array(self.ids, dtype="<u4")
-        self.encoding = tiktoken.Encoding("merges", pat_str=_BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.piece = self.encoding._core_bpe.encode_single_piece
-
-
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, entries: int = 400_000) -> None:
+    def __init__(self, path: str, entries: int = 500_000, longest: int = 100) -> None:
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
-        self._t.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.size = self._t.get_vocab_size(with_added_tokens=True)
         self._special = [x["content"] for x in spec.get("added_tokens", [])]
         self._cache: dict[str, bytes] = {}
-        self._entries = entries
-        self.kind = _kind(spec)
-        if self.kind:
-            self._merges = _Merges(spec["model"], "</w>" if self.kind == "words" else "")
-            if self._fast([_PROBE]) != [self.whole(_PROBE)]:
-                self.kind = None
+        self._entries, self._longest = entries, longest
+        # Strings of special tokens that a change of case, of composition or of spaces could make.
+        plain = all(s.isascii() and not x.get("lstrip") and not x.get("rstrip") and not x.get("normalized") for x in spec.get("added_tokens", []) for s in [x["content"]])
+        self.kind = _kind(spec) if plain else None
+        # Per id whether it ends a word, or starts one with a space.
+        self._edge = np.zeros(self.size, bool)
+        for w, i in spec.get("model", {}).get("vocab", {}).items() if self.kind else ():
+            self._edge[i] = w.endswith("</w>") if self.kind == "words" else w.startswith("\u0120")
+        mark = self._t.encode(_BETWEEN if self.kind == "words" else " " + _BETWEEN, add_special_tokens=False).ids
+        self.kind, self._between = (self.kind, mark[0]) if len(mark) == 1 else (None, 0)
 
     def whole(self, text: str) -> bytes:
-        """The tokenizers library's ids."""
         return np.asarray(self._t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, chunk: str) -> bytes:
-        piece, ids = self._merges.piece, self._merges.ids
-        return array("I", [ids[r] for w in _WORDS.findall(chunk) for r in piece(w.encode() + _END)]).tobytes()
-
-    def _fast(self, texts: list[str]) -> list[bytes]:
-        if self.kind == "bytes":
-            ids, encode = self._merges.ids_np, self._merges.encoding.encode_ordinary
-            return [ids[encode(t)].tobytes() if t else b"" for t in texts]
-        cut = [t.lower().split() for t in texts]
-        cache, new = self._cache, set()
-        for p in cut:
-            new.update(p)
-        for w in new:  # not new.difference_update(cache), which would walk the whole cache
-            if w not in cache:
-                cache[w] = self._word(w)
-        get = cache.__getitem__
-        out = [b"".join(map(get, p)) for p in cut]
-        if len(cache) > self._entries:  # the words met first are the common ones: keep those
+    def _parts(self, text: str) -> list[str]:
+        """Keys of the cache; for the byte kind a key stands for itself with a space before it."""
+        if self.kind == "words":
+            return text.split()
+        parts = _CUT.split(text) if any(r in text for r in (_ASCII_RUNS if text.isascii() else _RUNS)) else text.split(" ")
+        if parts[0]:
+            parts[0] = _FIRST + parts[0]
+            return parts
+        return parts[1:]
+
+    def _safe(self, text: str) -> bool:
+        return self.kind is not None and not any(c in text for c in _DOUBTFUL) and not any(s in text for s in self._special)
+
+    def _encoded(self, new: list[str]):
+        """(key, ids) of new parts. Words of letters are encoded as one text and told apart by their
+        first or last tokens; most others as one text with separators of one id between them; those
+        that hold the separator or start a text, one by one."""
+        letters, others, alone = [], [], []
+        for w in new:
+            (letters if w.isalpha() else alone if _BETWEEN in w or _FIRST in w else others).append(w)
+        space = "" if self.kind == "words" else " "
+        for a in range(0, len(letters), 512):
+            some = letters[a : a + 512]
+            ids = np.array(self._t.encode_batch_fast([space + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(self._edge[ids])
+            at = [0, *(at + 1).tolist()] if self.kind == "words" else [*at.tolist(), len(ids)]
+            if len(at) != len(some) + 1 or at[0] or at[-1] != len(ids):  # letters to Python only
+                alone += some
+                continue
+            data = ids.tobytes()
+            for w, x, y in zip(some, at, at[1:], strict=False):
+                yield w, data[4 * x : 4 * y]
+        for a in range(0, len(others), 512):
+            some = others[a : a + 512]
+            ids = np.array(self._t.encode_batch_fast([space + f" {_BETWEEN} ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = [*np.flatnonzero(ids == self._between).tolist(), len(ids)]
+            data, at = ids.tobytes(), 0
+            for w, end in zip(some, ends, strict=True):
+                yield w, data[4 * at : 4 * end]
+                at = end + 1
+        for a in range(0, len(alone), 512):
+            some = alone[a : a + 512]
+            texts = [w[1:] if w[:1] == _FIRST else space + w for w in some]
+            for w, e in zip(some, self._t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                yield w, array("I", e.ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self._parts(t) if self._safe(t) else None for t in texts]
+        cache, held = self._cache, {}
+        for w, ids in self._encoded(list(set(chain.from_iterable(p for p in cut if p)).difference(cache))):
+            (cache if len(w) <= self._longest else held)[w] = ids
+        get = cache.__getitem__ if not held else lambda w: cache[w] if w in cache else held[w]
+        out = [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
+        if len(cache) > self._entries:  # the parts met first are the common ones: keep those
             for w in list(islice(cache, self._entries // 2, None)):
                 del cache[w]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        fast = [self.kind is not None and _safe(t) and not any(s in t for s in self._special) for t in texts]
-        done = iter(self._fast([t for t, f in zip(texts, fast, strict=True) if f])) if any(fast) else iter(())
-        return [next(done) if f else self.whole(t) for t, f in zip(texts, fast, strict=True)]
-
-
-def _safe(text: str) -> bool:
-    if text.isascii():
-        return text.isprintable() or text.translate(_BREAKS).isprintable()
-    return not _UNSAFE.search(text)
-
 
 _ENCODERS: dict[str, Encoder] = {}
 

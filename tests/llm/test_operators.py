@@ -9,8 +9,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from assayer.llm import html_extract, jaccard_join, license_scan, media, mixing, packing, pii, quality, rans, token_files, warc
 from assayer.llm.common import Workspace
@@ -23,7 +25,7 @@ ODD = [
     (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \t\n ", "en", "a", 4), (4, "single", "en", "", 6), (5, COPY, "en", "a", 1), (6, COPY, "en", "b", 1), (6, COPY, "en", "b", 1),
     (7, COPY + "end", "en", "b", 1), (8, "MIT License and mit license! cc by, CC-BY gnu general public license", "en", "b", 1), (None, "no id here mail me at a@b.co or +49 (30) 1234567", None, "c", 1),
     (9, "x" * 70000 + "@" + "1" * 5000 + "...", "en", "c", 1), (10, "été 中文 \U0001f600 ½ İ a_b  c\n\n\n d\r\n", "zz", "é", 1), (11, "word " * 30000, "en", "a", 1),
-    (12, "4111 1111 1111 1111 and 10.0.0.255 or 1.2.3.4.5 or 300.1.1.1 GB82 WEST 1234 5698 7654 32 bank", "en", "a", 1), (12, "another text with the same id as before", "en", "a", 1), (-5, "negative id", "en", "d", 1),
+    (12, "4111 1111 1111 1111 and 10.0.0.255 or 1.2.3.4.5 or 300.1.1.1 GB82 WEST 1234 5698 7654 32 bank", "en", "a", 1), (12, "another text with the same id as before", "en", "a", 1), (-5, "negative id", "en", "d", 1), (13, "hello <|endoftext|> world <|startoftext|>", "en", "d", 1),
 ]
 
 
@@ -83,9 +85,9 @@ def test_pii_checksums_context_and_redaction():
 
 def test_packing_is_whole_gapless_and_tight(table):
     got = packing.pack_documents(table, WORD, limit=64).collect()
-    enc, want = Encoder(WORD), Counter()
+    want = Counter()
     for i, t in rows(table):
-        ids = enc.whole(t) + b"\1\0\0\0"
+        ids = library_ids(WORD, t) + b"\1\0\0\0"
         for p in range(0, len(ids), 256):
             part = ids[p : p + 256]
             want[(i, p // 256, p // 4, len(part) // 4, zlib.crc32(part))] += 1
@@ -103,6 +105,12 @@ def test_packing_is_whole_gapless_and_tight(table):
     assert len(seqs) <= -(-total // 64) * 1.05 + 2
 
 
+def test_packing_deals_equal_rows_to_many_shards(spark):
+    df = spark.createDataFrame([(None, "same text")] * 900, "doc_id long, text string")
+    got = packing.pack_documents(df, WORD, limit=64, shard_rows=100).collect()
+    assert len(got) == 900 and len({r["sequence_id"] >> 28 for r in got}) > 5
+
+
 def test_best_two_fit_swaps_the_smallest():
     seq, off, fills = packing.best_two_fit(np.array([60, 30, 25, 15]), 100)
     assert sorted(fills.tolist()) == [30, 100] and len(seq) == len(off) == 4
@@ -110,8 +118,7 @@ def test_best_two_fit_swaps_the_smallest():
 
 def test_token_files_round_trip(table):
     got = token_files.store_and_read(table, BYTE).collect()
-    enc = Encoder(BYTE)
-    want = Counter((i, len(d := enc.whole(t) + b"\2\0\0\0") // 4, zlib.crc32(d)) for i, t in rows(table))
+    want = Counter((i, len(d := library_ids(BYTE, t) + b"\2\0\0\0") // 4, zlib.crc32(d)) for i, t in rows(table))
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
     at, last = 0, float("-inf")
     for r in sorted(got, key=lambda r: r["start"]):
@@ -119,6 +126,21 @@ def test_token_files_round_trip(table):
         at, last = at + r["n_tokens"], r["doc_id"] if r["doc_id"] is not None else last
 
 
+def test_token_files_of_one_id_are_dealt_to_many_tasks(spark):
+    df = spark.createDataFrame([(None, f"text {i % 7}") for i in range(400)] + [(3, "x")], "doc_id long, text string").repartition(4)
+    work = Workspace(spark, "test")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = work.keep(token_files.write_tokens(df, work.uri + "/files", BYTE, file_tokens=100), "m")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    blocks = work.keep(token_files.token_blocks(manifest), "b")
+    assert manifest.select("part").distinct().count() > 1 and manifest.count() == blocks.count() > 4
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"], bytes(r["ids"])) for r in token_files.read_tokens(blocks, with_ids=True, tasks=3).collect())
+    assert Counter(x[3] for x in got) == Counter(library_ids(BYTE, t) + b"\2\0\0\0" for t in [f"text {i % 7}" for i in range(400)] + ["x"])
+    assert [x[0] for x in got] == [sum(y[1] for y in got[:k]) for k in range(401)] and got[-1][2] == 3
+
+
 @pytest.mark.parametrize("n,alphabet", [(0, 5), (1, 1), (5, 1), (1000, 1), (5000, 3), (70_000, 50_000)])
 def test_rans_blocks(n, alphabet):
     import io
@@ -130,26 +152,39 @@ def test_rans_blocks(n, alphabet):
     cut = np.array_split(ids, 7)
     for i, c in enumerate(cut):
         w.add(i, c.tobytes())
-    index = w.close()
+    w.close()
     data = out.getvalue()
-    table = rans.Table(data[: index["head"]]) if n else None
-    back = b"".join(table.decode(data[b["at"] : b["at"] + b["bytes"]], b["n"], b["lanes"], b["crc"], b["ids_crc"]) for b in index["blocks"] if n)
-    assert back == ids.tobytes()
+    index = rans.read_index(lambda at, k: data[at : at + k], len(data))
+    table = rans.Table(data[: index["head"]])
+    back = [table.decode(data[b["at"] : b["at"] + b["bytes"]], b) for b in index["blocks"]]
+    assert b"".join(x[2] for x in back) == ids.tobytes()
+    assert [d for x in back for d in x[0]] == list(range(7)) and [k for x in back for k in x[1]] == [len(c) for c in cut]
     if n:
         b = index["blocks"][0]
         bad = bytearray(data[b["at"] : b["at"] + b["bytes"]])
         bad[0] ^= 1
         with pytest.raises(ValueError):
-            table.decode(bytes(bad), b["n"], b["lanes"], b["crc"], b["ids_crc"])
+            table.decode(bytes(bad), b)
+
+
+def library_ids(path, text):
+    ids = Tokenizer.from_file(path) if path not in _LIBRARY else _LIBRARY[path]
+    return np.array(_LIBRARY.setdefault(path, ids).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+_LIBRARY = {}
 
 
-def test_encoder_equals_library():
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_encoder_equals_library(path, small):
     rng = random.Random(3)
-    pool = list("abcXYZ \n\t'.,!1éß½中_") + ["  ", "n't", "'s", " the", "\r\n", "<|endoftext|>"]
-    for path in (WORD, BYTE):
-        e = Encoder(path, entries=50)
-        texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
-        assert e.encode(texts) == [e.whole(t) for t in texts] and e.kind
+    pool = list("abcXYZ \n\t'.,!1éß½中_İΣς") + ["  ", " ", "n't", "'s", " the", "\r\n", "<|endoftext|>", "<|startoftext|>", "<|", "~", " ~ ", "\x1c", "\x85", "\u00a0", "\u2003", "\u200b", "e\u0301", "\u0301", "\U0001f600", "\u180e", "x" * 120]
+    e = Encoder(path, entries=50)
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["hello <|endoftext|> world", "a \n  b", " \n \n c ", "\n\n  x", ""]
+    texts += [r["text"] for r in pq.read_table(f"{small}/documents.parquet").to_pylist()]
+    for a in range(0, len(texts), 100):
+        assert e.encode(texts[a : a + 100]) == [library_ids(path, t) for t in texts[a : a + 100]]
+    assert e.kind
 
 
 def test_media_round_trip(table):
