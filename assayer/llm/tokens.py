@@ -15,9 +15,11 @@ import json
 import os
 import re
 from array import array
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -51,7 +53,7 @@ def _kind(spec: dict) -> str | None:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, entries: int = 500_000, longest: int = 100) -> None:
+    def __init__(self, path: str, entries: int = 1_000_000, longest: int = 100) -> None:
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
@@ -74,15 +76,11 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self._t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _parts(self, text: str) -> list[str]:
-        """Keys of the cache; for the byte kind a key stands for itself with a space before it."""
-        if self.kind == "words":
-            return text.split()
-        parts = _CUT.split(text) if any(r in text for r in (_ASCII_RUNS if text.isascii() else _RUNS)) else text.split(" ")
-        if parts[0]:
-            parts[0] = _FIRST + parts[0]
-            return parts
-        return parts[1:]
+    def _cut(self, text: str) -> list[str]:
+        """Keys of the cache, each standing for itself with a space before it, of a text with runs of
+        white space."""
+        first, *rest = _CUT.split(text)
+        return [_FIRST + first, *rest] if first else rest
 
     def _safe(self, text: str) -> bool:
         return self.kind is not None and not any(c in text for c in _DOUBTFUL) and not any(s in text for s in self._special)
@@ -121,16 +119,49 @@ class Encoder:
                 yield w, array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._parts(t) if self._safe(t) else None for t in texts]
-        cache, held = self._cache, {}
-        for w, ids in self._encoded(list(set(chain.from_iterable(p for p in cut if p)).difference(cache))):
-            (cache if len(w) <= self._longest else held)[w] = ids
-        get = cache.__getitem__ if not held else lambda w: cache[w] if w in cache else held[w]
-        out = [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
+        out: list[bytes] = [b""] * len(texts)
+        plain, runs = [], []
+        for i, t in enumerate(texts):
+            if not self._safe(t):
+                out[i] = self.whole(t)
+            elif self.kind == "words":
+                plain.append((i, t))
+            elif t and any(r in t for r in (_ASCII_RUNS if t.isascii() else _RUNS)):
+                runs.append((i, self._cut(t)))
+            elif t:
+                plain.append((i, t[1:] if t[0] == " " else _FIRST + t))
+        if not plain and not runs:
+            return out
+        cut = pa.array([t for _, t in plain], pa.large_string())
+        cut = pc.utf8_split_whitespace(cut) if self.kind == "words" else pc.split_pattern(cut, " ")
+        cut = pa.concat_arrays([cut, pa.array([p for _, p in runs], cut.type)])
+        coded = cut.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # The ids of all parts in a row: from where each distinct part's ids stand.
+        which = coded.indices.to_numpy()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        n = size[which]
+        ends = np.cumsum(n)
+        data = flat[np.repeat(first[which] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        for (i, _), x, y in zip([*plain, *runs], bounds.tolist(), bounds[1:].tolist(), strict=False):
+            out[i] = data[x:y].tobytes()
+        return out
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        cache = self._cache
+        ids = list(map(cache.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            new = dict(self._encoded([words[i] for i in missing if words[i] or self.kind != "words"]))
+            for i in missing:
+                ids[i] = new.get(words[i], b"")
+            cache.update(new if max(map(len, new), default=0) <= self._longest else {w: x for w, x in new.items() if len(w) <= self._longest})
         if len(cache) > self._entries:  # the parts met first are the common ones: keep those
             for w in list(islice(cache, self._entries // 2, None)):
                 del cache[w]
-        return out
+        return ids
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -143,7 +174,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def text_batches(column, rows: int = 64, chars: int = 1 << 20):
+def text_batches(column, rows: int = 4096, chars: int = 4 << 20):
     """(start, texts) slices of an Arrow string column with bounded text; nulls are empty."""
     start, held, size = 0, [], 0
     for i, v in enumerate(column):
