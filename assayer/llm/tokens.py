@@ -86,24 +86,40 @@ class Encoder:
         return self.kind is not None and not any(c in text for c in _DOUBTFUL) and not any(s in text for s in self._special)
 
     def _encoded(self, new: list[str]):
-        """(key, ids) of new parts. Words of letters are encoded as one text and told apart by their
-        first or last tokens; most others as one text with separators of one id between them; those
-        that hold the separator or start a text, one by one."""
-        letters, others, alone = [], [], []
-        for w in new:
-            (letters if w.isalpha() else alone if _BETWEEN in w or _FIRST in w else others).append(w)
+        """(key, ids) of new parts. Most are encoded as one text and told apart by the first tokens of
+        parts that start with a space, or by the last tokens of words: one of each run of letters and
+        one of a mark after it. The others are encoded as one text with separators of one id between
+        them; those that hold the separator or start a text, one by one."""
+        told, others, alone = [], [], []
+        if self.kind == "words":
+            for w in new:
+                if w.isalpha():
+                    told.append((w, 1))
+                elif w[-1] in ".,;:!?" and w[:-1].isalpha():
+                    told.append((w, 2))
+                else:
+                    (alone if _BETWEEN in w else others).append(w)
+        else:
+            for w in new:
+                if w[:1] == _FIRST:
+                    alone.append(w)
+                else:
+                    told.append((w, 1))
         space = "" if self.kind == "words" else " "
-        for a in range(0, len(letters), 512):
-            some = letters[a : a + 512]
+        for a in range(0, len(told), 512):
+            some = [w for w, _ in told[a : a + 512]]
+            marks = np.cumsum([n for _, n in told[a : a + 512]])
             ids = np.array(self._t.encode_batch_fast([space + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             at = np.flatnonzero(self._edge[ids])
-            at = [0, *(at + 1).tolist()] if self.kind == "words" else [*at.tolist(), len(ids)]
-            if len(at) != len(some) + 1 or at[0] or at[-1] != len(ids):  # letters to Python only
+            if len(at) != marks[-1]:  # letters or spaces to Python only
+                alone += some
+                continue
+            at = [0, *(at[marks - 1] + 1).tolist()] if self.kind == "words" else [*at.tolist(), len(ids)]
+            if at[0] or at[-1] != len(ids):
                 alone += some
                 continue
             data = ids.tobytes()
-            for w, x, y in zip(some, at, at[1:], strict=False):
-                yield w, data[4 * x : 4 * y]
+            yield from zip(some, [data[4 * x : 4 * y] for x, y in zip(at, at[1:], strict=False)], strict=True)
         for a in range(0, len(others), 512):
             some = others[a : a + 512]
             ids = np.array(self._t.encode_batch_fast([space + f" {_BETWEEN} ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
