@@ -179,8 +179,12 @@ def _retrieval(spark, d):
     return two.select("conv_id", "ctx", F.array("r1", "ref", F.element_at("ctx", 1)).alias("refs"))
 
 
-_RETRIEVAL = """WITH c AS (SELECT conv_id, list(substr(text, 1, 200) ORDER BY turn, text) AS ctx FROM conversations GROUP BY conv_id), n AS (SELECT count(*) AS n FROM benchmark),
-s AS (SELECT conv_id, ctx, [substr(x.text, 1, 200), substr(y.text, 1, 200), ctx[1]] AS refs FROM c, n JOIN benchmark x ON x.item_id = c.conv_id % n.n JOIN benchmark y ON y.item_id = (c.conv_id + 1) % n.n),
+# DuckDB's distance counts bytes: a byte that no text has stands for each character of several bytes.
+_BYTES = "".join(chr(i) for i in range(1, 128) if i not in (9, 10, 13) and not 32 <= i < 127)
+_NARROW = f"""wide AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x00-\x7F]')) AS ch FROM (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)),
+z AS MATERIALIZED (SELECT coalesce(string_agg(ch, '' ORDER BY ch), '') AS a FROM wide), cv AS MATERIALIZED (SELECT conv_id, turn, role, translate(text, a, '{_BYTES}') AS text FROM conversations, z), bm AS MATERIALIZED (SELECT item_id, translate(text, a, '{_BYTES}') AS text FROM benchmark, z)"""
+_RETRIEVAL = f"""WITH {_NARROW}, c AS (SELECT conv_id, list(text ORDER BY turn, text) AS ctx FROM cv GROUP BY conv_id), n AS (SELECT count(*) AS n FROM bm),
+s AS (SELECT conv_id, ctx, [x.text, y.text, ctx[1]] AS refs FROM c, n JOIN bm x ON x.item_id = c.conv_id % n.n JOIN bm y ON y.item_id = (c.conv_id + 1) % n.n),
 sim AS (SELECT conv_id, i, j, CASE WHEN greatest(length(ctx[i]), length(refs[j])) = 0 THEN 1.0 ELSE 1 - levenshtein(ctx[i], refs[j]) / greatest(length(ctx[i]), length(refs[j])) END AS v
  FROM (SELECT conv_id, ctx, refs, i, unnest(range(1, len(refs) + 1)) AS j FROM (SELECT conv_id, ctx, refs, unnest(range(1, len(ctx) + 1)) AS i FROM s)))"""
 
@@ -265,12 +269,12 @@ def _calls(spark, d):
     return u.withColumnRenamed("calls", "act").join(u.select((F.col("user_id") - 1).alias("user_id"), F.col("calls").alias("exp")), "user_id")
 
 
-_CALLS = """WITH e AS (SELECT user_id, event_type || '|' || (floor(value)::BIGINT % 3)::VARCHAR AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events QUALIFY k <= 5),
+_CALLS = """WITH e AS (SELECT user_id, event_type || '|' || (floor(value)::BIGINT % 3)::VARCHAR AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 p AS (SELECT DISTINCT a.user_id FROM e a JOIN e b ON b.user_id = a.user_id + 1), na AS (SELECT user_id, count(*) AS n FROM e GROUP BY 1)"""
 
 
-@query(f"""{_CALLS} SELECT p.user_id, round((SELECT count(*) FROM e a JOIN e b ON b.user_id = a.user_id + 1 AND a.k = b.k AND a.c = b.c WHERE a.user_id = p.user_id) / greatest(x.n, y.n), 6) AS score
-FROM p JOIN na x ON x.user_id = p.user_id JOIN na y ON y.user_id = p.user_id + 1""")
+@query(f"""{_CALLS}, h AS (SELECT a.user_id, count(*) AS h FROM e a JOIN e b ON b.user_id = a.user_id + 1 AND a.k = b.k AND a.c = b.c GROUP BY 1)
+SELECT p.user_id, round(coalesce(h, 0) / greatest(x.n, y.n), 6) AS score FROM p JOIN na x ON x.user_id = p.user_id JOIN na y ON y.user_id = p.user_id + 1 LEFT JOIN h ON h.user_id = p.user_id""")
 def tool_call_accuracy_strict(spark, d):
     return _calls(spark, d).select("user_id", r6(M.tool_call_accuracy(F.col("act"), F.col("exp"))).alias("score"))
 
@@ -348,7 +352,7 @@ def chunk_next_edges(spark, d):
     return A.consecutive(p, "doc_id", "i", "id")
 
 
-_EDGES = "e AS (SELECT DISTINCT c_nationkey AS s, (c_custkey % 25)::INT AS t FROM customer WHERE c_acctbal > 9500), b AS (SELECT s, t FROM e WHERE s <> t UNION SELECT t, s FROM e WHERE s <> t)"
+_EDGES = "e AS (SELECT DISTINCT 'n' || c_nationkey AS s, 'c' || c_custkey AS t FROM customer), b AS (SELECT s, t FROM e WHERE s <> t UNION SELECT t, s FROM e WHERE s <> t)"
 
 
 @query(f"""WITH {_EDGES}, p AS (SELECT [s, t] AS p, t FROM b UNION ALL SELECT [x.s, x.t, y.t], y.t FROM b x JOIN b y ON x.t = y.s AND y.t <> x.s)
@@ -452,9 +456,11 @@ def semantic_similarity_hashed(spark, d):
     return judges.semantic_similarity(_samples(spark, d), HashEmbedding(), _kept(spark)).select("sample_index", r6(F.col("value")).alias("score"))
 
 
-@query(f"""WITH {PAIRS} SELECT conv_id * 1000 + turn AS sample_index, CAST(trim(answer) = trim(reference) AS DOUBLE) AS exact_match, round(1 - levenshtein(a, r) / greatest(length(a), length(r), 1), 6) AS string_similarity FROM (SELECT *, regexp_replace(answer, '[^\\x00-\\x7F]', '?', 'g') AS a, regexp_replace(reference, '[^\\x00-\\x7F]', '?', 'g') AS r FROM pairs)""")
+_NARROW_PAIRS = PAIRS.replace("FROM conversations", "FROM cv").replace("JOIN benchmark b", "JOIN bm b").replace("count(*) FROM benchmark", "count(*) FROM bm")
+
+
+@query(f"""WITH {_NARROW}, {_NARROW_PAIRS} SELECT conv_id * 1000 + turn AS sample_index, CAST(trim(answer) = trim(reference) AS DOUBLE) AS exact_match,
+round(1 - levenshtein(answer, reference) / greatest(length(answer), length(reference), 1), 6) AS string_similarity FROM pairs""")
 def evaluate_native(spark, d):
-    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")  # noqa: E731  the oracle's distance counts bytes
-    samples = _samples(spark, d).withColumn("response", plain("response")).withColumn("reference", plain("reference"))
-    s = evaluate(samples, ["exact_match", "string_similarity"])
+    s = evaluate(_samples(spark, d), ["exact_match", "string_similarity"])
     return s.groupBy("sample_index").pivot("metric_name", ["exact_match", "string_similarity"]).agg(F.first("value")).select("sample_index", "exact_match", r6(F.col("string_similarity")).alias("string_similarity"))
