@@ -6,13 +6,16 @@
 2. A set of n shingles that links must share one of any n - ceil(t n) + 1 of its shingles. Nodes
    with that many front shingles that no other set has link with nothing and are done.
 3. For the others the whole sets are counted: the prefix of a node is its rarest shingles. Nodes
-   with the same prefix and size form a group; groups that share a prefix shingle are candidates.
-4. Candidate groups are split by components and, where large, into blocks; pairs of blocks are
-   verified in one task each: groups are filtered by size and shared prefix, then expanded, and the
-   overlap of all members is computed at once by a sparse-column matrix product. A task returns a
+   with the same prefix and size form a group.
+4. Prefix shingles that at most ``few`` nodes have are joined to distinct pairs of groups, filtered by
+   size and by the place of their first common shingle, then expanded to members and verified.
+5. The groups that hold a more frequent prefix shingle, as those of many near copies do, are not
+   paired one by one: they are split into blocks (by what such shingles connect), and pairs of blocks
+   are verified in one task each, which filters groups by size and shared prefix, expands them and
+   computes the overlap of all members at once by a sparse-column matrix product. A task returns a
    spanning forest of its links and how many each member has, so the rows stay linear however many
    pairs link.
-5. The forests' components are those of the links.
+6. The components of pairs and forests are those of the links.
 
 Shingles are 64-bit hashes of the words. Only integers are shuffled, never text.
 
@@ -159,15 +162,15 @@ def _slices(lists: list[np.ndarray], cells: int = 4_000_000):
         yield step, (own[a:b], col[a:b] - lo)
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, front: float = 0.25, block_nodes: int = 1200, block_shingles: int = 600_000, links: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, front: float = 0.25, block_nodes: int = 400, block_shingles: int = 300_000, links: bool = False, few: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs. Two sets link when
     100 * intersection >= percent * union. With links also n_links, the number of other rows with a
     doc_id that link with the row; null for a null doc_id."""
-    found = _components(docs, k, percent, front, block_nodes, block_shingles)
+    found = _components(docs, k, percent, front, block_nodes, block_shingles, few)
     return found.select("doc_id", "n_shingles", "component_id", *["n_links"] * links)
 
 
-def _components(docs: DataFrame, k: int, percent: int, front: float = 0.25, block_nodes: int = 1200, block_shingles: int = 600_000) -> DataFrame:
+def _components(docs: DataFrame, k: int, percent: int, front: float = 0.25, block_nodes: int = 400, block_shingles: int = 300_000, few: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, node, head, n_links): node is the fingerprint of the row's set and
     head that of the set that names the component, which two components of one name do not share."""
     spark = docs.sparkSession
@@ -200,15 +203,41 @@ def _components(docs: DataFrame, k: int, percent: int, front: float = 0.25, bloc
     prefixes = prefixes.select("node", "n", "own", F.transform(F.slice("common", 1, (need - F.col("own")).cast("int")), lambda x: x["h"]).alias("pref"))
     # A node with a shingle of its own in its prefix shares that prefix with nobody.
     key = F.when(F.col("own") == 0, F.xxhash64("n", "pref")).otherwise(F.xxhash64("n", "pref", "node"))
-    prefixes = work.keep(prefixes.withColumn("grp", key).drop("own"), "prefixes")
-    hits = work.keep(prefixes.groupBy("grp").agg(F.first("pref").alias("pref")).select("grp", F.explode("pref").alias("h")), "hits")
-    hubs = hits.groupBy("h").agg(F.min("grp").alias("hub"))
-    candidates = components(work, hits.join(hubs, "h").select(F.col("grp").alias("a"), F.col("hub").alias("b")))
-
-    # 4. Blocks of bounded size, and pairs of blocks.
-    many = prefixes.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp", F.col("grp").alias("root"))
-    roots = candidates.select(F.col("node").alias("grp"), "root")
-    roots = roots.unionByName(many.join(roots, "grp", "left_anti"))
+    prefixes = work.keep(prefixes.withColumn("grp", key), "prefixes")
+    hits = prefixes.groupBy("grp").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.count("*").alias("w"), F.first("pref").alias("pref"))
+    hits = work.keep(hits.select("grp", "n", "w", "own", F.posexplode("pref").alias("pos", "h")).withColumn("pos", F.col("own") + F.col("pos") + 1), "hits")
+    spread = hits.groupBy("h").agg(F.sum("w").alias("spread"), F.count("*").alias("groups"))
+    hits = work.keep(hits.join(spread.where("groups > 1 or spread > " + str(few)), "h").withColumn("hot", F.col("spread") > few), "spread")
+
+    # 5. What frequent prefix shingles connect, in blocks of bounded size.
+    hot = hits.where("hot").select("grp", "h")
+    hubs = hot.groupBy("h").agg(F.min("grp").alias("hub"))
+    roots = components(work, hot.join(hubs, "h").select(F.col("grp").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("grp"), "root")
+    # A group alone with its frequent shingles is linked with no other, so that no component holds it.
+    alone = hot.select("grp").distinct().join(roots, "grp", "left_anti").select("grp", F.col("grp").alias("root"))
+    roots = work.keep(roots.unionByName(alone), "roots")
+
+    # 4. Pairs of groups by rarer shingles, but for those that meet in blocks.
+    rare = hits.where("not hot").join(roots, "grp", "left").select("h", "grp", "n", "pos", "root")
+    x, y = (rare.select("h", *[F.col(c).alias(c + i) for c in ("grp", "n", "pos", "root")]) for i in "12")
+    met = x.join(y, "h").where("grp1 < grp2 and (root1 is null or root2 is null or root1 <> root2)").where(F.least("n1", "n2") * 100 >= percent * F.greatest("n1", "n2"))
+    met = met.groupBy("grp1", "grp2").agg(F.min("pos1").alias("pos1"), F.min("pos2").alias("pos2"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first("root1").alias("root1"), F.first("root2").alias("root2"))
+    # Where one has no frequent shingle, no common one stands before the first that was met.
+    room = 1 + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    met = met.where(F.col("root1").isNotNull() & F.col("root2").isNotNull() | (room * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent))
+    members = prefixes.select("grp", "node")
+    met = met.select(F.col("grp1").alias("grp"), "grp2").join(members, "grp").select(F.col("grp2").alias("grp"), F.col("node").alias("a")).join(members, "grp").select("a", F.col("node").alias("b"))
+    within = members.join(hits.select("grp").where("hot").distinct(), "grp", "left_anti").groupBy("grp").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes").between(2, few))
+    within = within.select(F.explode("nodes").alias("a"), "nodes").select("a", F.explode("nodes").alias("b")).where("a < b")
+    chosen = work.keep(met.unionByName(within), "pairs")
+    held = sets.select("node", "n", "named", "sig")
+    left, right = (held.select(*[F.col(c).alias(c + i) for c in held.columns]) for i in "ab")
+    linked = chosen.join(left, F.col("a") == F.col("nodea")).join(right, F.col("b") == F.col("nodeb"))
+    common = F.size(F.array_intersect("siga", "sigb"))
+    linked = linked.where((common * (100 + percent)) >= (F.col("na") + F.col("nb")) * percent).select("a", "b", "nameda", "namedb")
+    linked = work.keep(linked, "linked")
+    pair_links = linked.select("a", "b", F.col("namedb").alias("links")).unionByName(linked.select(F.col("b").alias("a"), F.lit(None).cast("long").alias("b"), F.col("nameda").alias("links")))
+
     placed = work.keep(prefixes.join(roots, "grp").select("node", "n", "grp", "pref", "root"), "placed")
     load = placed.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).where("members > 1")
     load = load.select("root", F.greatest(F.ceil(F.col("members") / block_nodes), F.ceil(F.col("weight") / block_shingles)).cast("int").alias("blocks"))
@@ -217,8 +246,8 @@ def _components(docs: DataFrame, k: int, percent: int, front: float = 0.25, bloc
     pairs = pairs.select("node", "grp", "pref", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     full = pairs.join(sets.select("node", "named", "sig"), "node")
     links = full.groupBy("root", "i", "j").applyInPandas(lambda pdf: _verify(pdf, percent, 100), "a long, b long, links long")
-    links = work.keep(links, "links")
-    work.drop(sets, prefixes)
+    links = work.keep(links.unionByName(pair_links), "links")
+    work.drop(sets, prefixes, hits)
     member = components(work, links.where("b is not null").select("a", "b"))
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
 

@@ -77,4 +77,26 @@ SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
 """
 
-ORACLES: dict[str, str] = {"op8_warc": _OP8}
+# The articles of the test pages, whose markup regular expressions can read.
+_OP1 = r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*?)(</article>|<footer|$)', 1, 's'), '') AS t FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(t, '<br>', ' ', 'g'), '</?(p|h1|div|ul|li)>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)) AS parts FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+ replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+"""
+
+_OP9 = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+ ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM d)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+m AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1), k AS (SELECT x, count(*) AS k FROM l GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, coalesce(k.k, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.x = d.doc_id LEFT JOIN k ON k.x = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_html_extraction": _OP1, "op8_warc": _OP8, "op9_jaccard_join": _OP9}
