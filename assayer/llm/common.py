@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -31,12 +33,14 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """A fresh folder below the shared root for one run of one operator."""
+    """A fresh folder below the shared root for one run of one operator. It lasts as long as the
+    application, as results read from it, and is deleted when the driver's Python ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.uri = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(_delete, self.uri)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Writes df as Parquet in the workspace and reads it back: this cuts the lineage, and a
@@ -55,6 +59,12 @@ class Workspace:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def _delete(uri: str) -> None:
+    with contextlib.suppress(OSError):
+        fs, path = open_fs(uri)
+        fs.delete_dir(path)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a URI, for workers that write their own formats. A path
     without scheme is local."""

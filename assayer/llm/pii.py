@@ -174,9 +174,9 @@ SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 def detect(docs: DataFrame, threshold: float = 0.6, replace: bool = False) -> DataFrame:
     """Every row with ``pii``, its spans; with replace, ``text`` has them replaced as well."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == "pii"]) if not replace else docs
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == "pii"])
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "pii") + f", pii {SPAN}"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", pii {SPAN}"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def scan(stream):

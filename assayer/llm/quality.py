@@ -9,7 +9,8 @@ one conditional Spark expression.
 Defined cases: a null text has no words; documents under ``least_words`` words or with over 30 % of
 their words in repeated windows fail the base; without labels (null, empty or of one kind) nothing is
 learned and the base decides; ties between thresholds go to the earlier statistic and the lower
-threshold; repeated rows get equal verdicts; an empty table gives no rows.
+threshold; repeated rows get equal verdicts; an empty table gives no rows; columns of docs that have the
+name of one that is added (in any case of letters) are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -29,43 +30,51 @@ STATISTICS = ["n_words", "word_length", "symbol_share", "dup_line_share", "repea
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """Adds to each row the columns of BASE and STATISTICS (prefixed with q_)."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("q_")])
+    added = {f"q_{c}" for c in BASE + STATISTICS}
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    p = "_q"  # of working columns, unlike all others
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    one = docs.withColumn("q_text", t)
-    one = one.withColumn("q_w", F.filter(F.split("q_text", SPACE_CLASS + "+"), lambda x: x != ""))
-    lines = F.filter(F.split("q_text", "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
-    one = one.withColumn("q_lines", lines).withColumn("q_n", F.size("q_w"))
-    gram = F.transform(F.sequence(F.lit(0), F.col("q_n") - WINDOW), lambda i: F.xxhash64(*[F.get("q_w", i + j) for j in range(WINDOW)]))
-    one = one.withColumn("q_g", F.when(F.col("q_n") > WINDOW, gram))
-    one = one.withColumn("q_twice", F.size(F.array_distinct("q_g")) < F.size("q_g"))
+    one = docs.withColumn(f"{p}_text", t)
+    one = one.withColumn(f"{p}_w", F.filter(F.split(f"{p}_text", SPACE_CLASS + "+"), lambda x: x != ""))
+    lines = F.filter(F.split(f"{p}_text", "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
+    one = one.withColumn(f"{p}_lines", lines).withColumn(f"{p}_n", F.size(f"{p}_w"))
+    # Hashes of windows of 8 words from those of 4, of 2, and of words, each made once.
+    one = one.withColumn(f"{p}_g1", F.when(F.col(f"{p}_n") > WINDOW, F.transform(f"{p}_w", lambda x: F.xxhash64(x))))
+    for n in (1, 2, 4):
+        shifted = F.slice(f"{p}_g{n}", n + 1, F.size(f"{p}_g{n}") - n)
+        one = one.withColumn(f"{p}_g{2 * n}", F.slice(F.zip_with(f"{p}_g{n}", shifted, lambda x, y: F.xxhash64(x, y)), 1, F.size(f"{p}_g{n}") - n))
+    one = one.withColumn(f"{p}_g", F.col(f"{p}_g8"))
+    one = one.withColumn(f"{p}_twice", F.size(F.array_distinct(f"{p}_g")) < F.size(f"{p}_g"))
     # Only texts with a repeated window are sorted: windows by hash, equal neighbours, back by place.
-    placed = F.array_sort(F.transform("q_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    one = one.withColumn("q_s", F.when(F.col("q_twice"), placed))
-    h = F.transform("q_s", lambda x: x["h"])
-    up = F.concat(F.slice(h, 2, F.greatest(F.size("q_s") - 1, F.lit(1))), F.array(F.lit(None).cast("long")))
-    down = F.concat(F.array(F.lit(None).cast("long")), F.slice(h, 1, F.greatest(F.size("q_s") - 1, F.lit(1))))
+    placed = F.array_sort(F.transform(f"{p}_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    one = one.withColumn(f"{p}_s", F.when(F.col(f"{p}_twice"), placed))
+    h = F.transform(f"{p}_s", lambda x: x["h"])
+    up = F.concat(F.slice(h, 2, F.greatest(F.size(f"{p}_s") - 1, F.lit(1))), F.array(F.lit(None).cast("long")))
+    down = F.concat(F.array(F.lit(None).cast("long")), F.slice(h, 1, F.greatest(F.size(f"{p}_s") - 1, F.lit(1))))
     near = F.zip_with(up, down, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    mark = F.zip_with("q_s", near, lambda x, y: F.when(x["h"].eqNullSafe(y["a"]) | x["h"].eqNullSafe(y["b"]), x["i"]))
-    one = one.withColumn("q_at", F.when(F.col("q_twice"), F.array_sort(F.filter(mark, lambda x: x.isNotNull()))))
+    mark = F.zip_with(f"{p}_s", near, lambda x, y: F.when(x["h"].eqNullSafe(y["a"]) | x["h"].eqNullSafe(y["b"]), x["i"]))
+    one = one.withColumn(f"{p}_at", F.when(F.col(f"{p}_twice"), F.array_sort(F.filter(mark, lambda x: x.isNotNull()))))
     # The union of the windows [i, i + 8): each adds what lies before the next one.
-    after = F.concat(F.slice("q_at", 2, F.greatest(F.size("q_at") - 1, F.lit(1))), F.array(F.lit(1 << 30)))
-    covered = F.aggregate(F.zip_with("q_at", after, lambda a, b: F.least(b - a, F.lit(WINDOW))), F.lit(0), lambda s, x: s + x)
-    squeezed = F.translate("q_text", _SPACES, "")
+    after = F.concat(F.slice(f"{p}_at", 2, F.greatest(F.size(f"{p}_at") - 1, F.lit(1))), F.array(F.lit(1 << 30)))
+    covered = F.aggregate(F.zip_with(f"{p}_at", after, lambda a, b: F.least(b - a, F.lit(WINDOW))), F.lit(0), lambda s, x: s + x)
+    squeezed = F.translate(f"{p}_text", _SPACES, "")
     one = one.select(
-        "*", F.col("q_n").cast("long").alias("q_n_words"), F.length(squeezed).cast("long").alias("q_word_chars"),
-        (F.length("q_text") - F.length(F.translate("q_text", "#*$%&|<>", ""))).cast("long").alias("q_n_symbols"),
-        (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("q_n_dup_lines"),
-        F.coalesce(F.when(F.col("q_twice"), covered), F.lit(0)).cast("long").alias("q_n_repeat_words"),
-        F.length(F.regexp_replace("q_text", "[^A-Z]+", "")).alias("q_upper"), F.length(F.regexp_replace("q_text", "[^!]+", "")).alias("q_exclaim"),
-        F.length(F.regexp_replace("q_text", "[^0-9]+", "")).alias("q_digit"), F.size(F.array_distinct("q_w")).alias("q_distinct"), F.size("q_lines").alias("q_n_lines"),
+        "*", F.col(f"{p}_n").cast("long").alias("q_n_words"), F.length(squeezed).cast("long").alias("q_word_chars"),
+        (F.length(f"{p}_text") - F.length(F.translate(f"{p}_text", "#*$%&|<>", ""))).cast("long").alias("q_n_symbols"),
+        (F.size(f"{p}_lines") - F.size(F.array_distinct(f"{p}_lines"))).cast("long").alias("q_n_dup_lines"),
+        F.coalesce(F.when(F.col(f"{p}_twice"), covered), F.lit(0)).cast("long").alias("q_n_repeat_words"),
+        F.length(F.regexp_replace(f"{p}_text", "[^A-Z]+", "")).alias(f"{p}_upper"), F.length(F.regexp_replace(f"{p}_text", "[^!]+", "")).alias(f"{p}_exclaim"),
+        F.length(F.regexp_replace(f"{p}_text", "[^0-9]+", "")).alias(f"{p}_digit"), F.size(F.array_distinct(f"{p}_w")).alias(f"{p}_distinct"), F.size(f"{p}_lines").alias(f"{p}_n_lines"),
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     # The values leave as the row of a generator: the optimizer would put the whole expressions, with
     # the texts' arrays inside the lambdas, in place of columns in a filter that it moves down.
     values = [F.col(f"q_{c}") for c in BASE] + [
         share("q_word_chars", "q_n_words").alias("q_word_length"), share("q_n_symbols", "q_word_chars").alias("q_symbol_share"),
-        share("q_n_dup_lines", "q_n_lines").alias("q_dup_line_share"), share("q_n_repeat_words", "q_n_words").alias("q_repeat_share"), share("q_upper", "q_word_chars").alias("q_upper_share"),
-        share("q_exclaim", "q_n_words").alias("q_exclaim_share"), share("q_digit", "q_word_chars").alias("q_digit_share"), share("q_distinct", "q_n_words").alias("q_word_variety"),
+        share("q_n_dup_lines", f"{p}_n_lines").alias("q_dup_line_share"), share("q_n_repeat_words", "q_n_words").alias("q_repeat_share"), share(f"{p}_upper", "q_word_chars").alias("q_upper_share"),
+        share(f"{p}_exclaim", "q_n_words").alias("q_exclaim_share"), share(f"{p}_digit", "q_word_chars").alias("q_digit_share"), share(f"{p}_distinct", "q_n_words").alias("q_word_variety"),
     ]
     return one.select(*docs.columns, F.inline(F.array(F.struct(*values))))
 

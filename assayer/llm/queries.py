@@ -82,7 +82,7 @@ _OP1 = r"""
 WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*?)(</article>|<footer|$)', 1, 's'), '') AS t FROM pages),
 b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(t, '<br>', ' ', 'g'), '</?(p|h1|div|ul|li)>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)) AS parts FROM a),
 c AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(
- replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
 """
 
