@@ -139,7 +139,8 @@ FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FRO
 def string_presence_docs(spark, d):
     b = table(spark, d, "benchmark")
     n = b.count()
-    b = F.broadcast(b.select("item_id", F.col("text").alias("ref")))  # an item per hundred documents, short texts
+    b = b.select("item_id", F.col("text").alias("ref"))
+    b = F.broadcast(b) if n <= 10_000 else b
     x = table(spark, d, "documents").join(b, F.pmod("doc_id", F.lit(n)) == b["item_id"])
     return x.select("doc_id", M.string_presence(F.col("text"), F.col("ref")).alias("presence"), T.exact_match(F.col("text"), F.col("ref")).alias("exact"))
 
@@ -173,7 +174,8 @@ def _retrieval(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("ctx"))
     b = table(spark, d, "benchmark")
     n = b.count()
-    b = F.broadcast(b.select("item_id", F.col("text").alias("ref")))
+    b = b.select("item_id", F.col("text").alias("ref"))
+    b = F.broadcast(b) if n <= 10_000 else b
     one = c.join(b, F.pmod("conv_id", F.lit(n)) == b["item_id"]).drop("item_id").withColumnRenamed("ref", "r1")
     two = one.join(b, F.pmod(F.col("conv_id") + 1, F.lit(n)) == b["item_id"]).drop("item_id")
     return two.select("conv_id", "ctx", F.array("r1", "ref", F.element_at("ctx", 1)).alias("refs"))
@@ -302,8 +304,8 @@ def semantic_threshold(spark, d):
     return e.join(n, "vec_id").select("vec_id", V.threshold(V.clamp(V.cosine(F.col("embedding"), F.col("other"))), 0.1).alias("score"))
 
 
-@query("""WITH i AS (SELECT DISTINCT p_brand AS g, unnest(string_split(p_name, ' ')) AS w FROM part), n AS (SELECT g, count(*) AS n FROM i GROUP BY 1),
-h AS (SELECT a.g AS a, b.g AS b, count(*) AS h FROM i a JOIN i b ON a.g < b.g AND jaro_winkler_similarity(lower(a.w), lower(b.w)) >= 0.9 GROUP BY ALL)
+@query("""WITH i AS (SELECT p_brand AS g, w, count(*) AS c FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY ALL), n AS (SELECT g, sum(c) AS n FROM i GROUP BY 1),
+h AS (SELECT a.g AS a, b.g AS b, sum(a.c * b.c) AS h FROM i a JOIN i b ON a.g < b.g AND jaro_winkler_similarity(lower(a.w), lower(b.w)) >= 0.9 GROUP BY ALL)
 SELECT a, b, round(h / (x.n * y.n), 6) AS score FROM h JOIN n x ON x.g = a JOIN n y ON y.g = b WHERE h / (x.n * y.n) >= 0.01""")
 def entity_overlap(spark, d):
     i = table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.explode(F.split("p_name", " ")).alias("item"))
@@ -443,6 +445,8 @@ def _kept(spark):
     folder for it, else a cached table."""
     if spark.conf.get("spark.checkpoint.dir", None):
         return lambda df: df.checkpoint()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return lambda df: df.cache()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -161,14 +162,59 @@ def jaro_winkler(a: str, b: str) -> float:
     return j + same * 0.1 * (1 - j)
 
 
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts as rows padded with zeros, and the texts' lengths."""
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.zeros((len(texts), max(1, int(n.max(initial=0)))), np.uint32)
+    out[np.arange(out.shape[1]) < n[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    return out, n
+
+
+def jaro_many(a: list[str], b: list[str], winkler: bool = False, cells: int = 4_000_000) -> np.ndarray:
+    """Jaro or Jaro-Winkler similarities of pairs, a character place of all pairs at a time."""
+    wide = max(map(len, [*a, *b]), default=0)
+    step = max(1, cells // max(1, wide))
+    if len(a) > step:
+        return np.concatenate([jaro_many(a[i : i + step], b[i : i + step], winkler, cells) for i in range(0, len(a), step)])
+    (x, nx), (y, ny) = _points(a), _points(b)
+    at = np.arange(y.shape[1])
+    reach = np.maximum(np.maximum(nx, ny) // 2 - 1, 0)[:, None]
+    free = at < ny[:, None]
+    hit = np.zeros(x.shape, bool)
+    for i in range(x.shape[1]):
+        fits = free & (y == x[:, i : i + 1]) & (np.abs(at - i) <= reach) & (i < nx)[:, None]
+        some = np.flatnonzero(fits.any(axis=1))
+        free[some, fits[some].argmax(axis=1)] = False
+        hit[some, i] = True
+    taken = (at < ny[:, None]) & ~free
+    m = hit.sum(axis=1)
+    rows = np.repeat(np.arange(len(a)), m)
+    swaps = np.bincount(rows[x[hit] != y[taken]], minlength=len(a)) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        j = np.where(m > 0, (m / nx + m / ny + (m - swaps) / m) / 3, np.where((nx == 0) & (ny == 0), 1.0, 0.0))
+    if not winkler:
+        return j
+    k = min(4, x.shape[1], y.shape[1])
+    inside = np.arange(k) < np.minimum(nx, ny)[:, None]
+    same = np.minimum.accumulate((x[:, :k] == y[:, :k]) & inside, axis=1).sum(axis=1)
+    return np.where(j > 0.7, j + same * 0.1 * (1 - j), j)
+
+
+def _paired(a: pd.Series, b: pd.Series, winkler: bool) -> pd.Series:
+    some = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), None, object)
+    out[some] = jaro_many(a[some].tolist(), b[some].tolist(), winkler)
+    return pd.Series(out, dtype="Float64").astype(object).where(some, None)
+
+
 @F.pandas_udf(DoubleType())
 def jaro_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro(x, y) for x, y in zip(a, b, strict=True)])
+    return _paired(a, b, False)
 
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
+    return _paired(a, b, True)
 
 
 def string_similarity(a: Column, b: Column, measure: str = "levenshtein") -> Column:

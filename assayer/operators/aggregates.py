@@ -26,12 +26,43 @@ def metric_means(scores: DataFrame) -> DataFrame:
 
 
 def compare_runs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Candidate mean minus baseline mean per metric of either run; a missing mean is 0."""
+    """Candidate mean minus baseline mean per metric of either run; a missing mean is 0. The change in
+    the number of samples is given by sample_count_delta."""
     a, b = metric_means(baseline).withColumnRenamed("mean", "a"), metric_means(candidate).withColumnRenamed("mean", "b")
     both = a.join(b, "metric_name", "full_outer")
     return both.select("metric_name", F.coalesce("a", F.lit(0.0)).alias("baseline"), F.coalesce("b", F.lit(0.0)).alias("candidate"), (F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0))).alias("delta"))
 
 
+def sample_count_delta(baseline: DataFrame, candidate: DataFrame) -> int:
+    count = lambda s: s.select("sample_index").distinct().count()
+    return count(candidate) - count(baseline)
+
+
+def summarize(scores: DataFrame, name: str, metadata: dict[str, str] | None = None) -> DataFrame:
+    """Mean per metric of one run, with its name and what is known about it."""
+    known = F.create_map(*[F.lit(x) for kv in sorted((metadata or {}).items()) for x in kv]) if metadata else F.create_map().cast("map<string,string>")
+    return metric_means(scores).select(F.lit(name).alias("experiment"), "metric_name", "mean", known.alias("metadata"))
+
+
+def estimated_cost(calls: DataFrame, input_rate: float, output_rate: float | None = None) -> DataFrame:
+    """The cost of all calls at rates per token; the output rate defaults to the input rate."""
+    out = input_rate if output_rate is None else output_rate
+    return calls.agg(F.round(F.coalesce(F.sum("prompt_tokens"), F.lit(0)) * input_rate + F.coalesce(F.sum("completion_tokens"), F.lit(0)) * out, 12).alias("cost"))
+
+
+def total_model_cost(calls: DataFrame, rates: DataFrame, per: int = 1) -> float:
+    """The rounded sum of model_cost; a model without a rate is an error."""
+    lacking = calls.select("model").distinct().join(rates, "model", "left_anti").first()
+    if lacking:
+        raise ValueError(f"no rate for model {lacking['model']}")
+    return model_cost(calls, rates, per).agg(F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 12)).first()[0]
+
+
+def subset_of(a: Column, b: Column) -> Column:
+    """Whether every value of array a is in array b."""
+    return F.size(F.array_except(a, b)) == 0
+
+
 def usage(calls: DataFrame) -> DataFrame:
     """Token sums overall, by provider and by metric, in one pass of grouping sets."""
     total = F.coalesce("total_tokens", F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0)))
@@ -50,11 +81,20 @@ def model_cost(calls: DataFrame, rates: DataFrame, per: int = 1) -> DataFrame:
 
 
 def frequent_items(items: DataFrame, share: float = 0.05, item: str = "item", position: str = "position") -> DataFrame:
-    """The max(1, share of the distinct) most frequent items, ties by first position: a top-k, so the
-    sort keeps k rows per task."""
+    """The max(1, share of the distinct) most frequent items, ties by first position.
+
+    The count of the last of them is read off a histogram of counts (a row per different count), so
+    that all but the items of that very count are found by a filter; only ties are sorted."""
     counts = items.groupBy(item).agg(F.count("*").alias("n"), F.min(position).alias("first"))
-    k = max(1, int(counts.count() * share))
-    return counts.orderBy(F.desc("n"), "first", item).limit(k)
+    histogram = [(r["n"], r["c"]) for r in counts.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).toLocalIterator()]
+    k, above = max(1, int(sum(c for _, c in histogram) * share)), 0
+    for n, c in histogram:
+        if above + c >= k:
+            ties = counts.where(F.col("n") == n)
+            ties = ties if above + c == k else ties.orderBy("first", item).limit(k - above)
+            return counts.where(F.col("n") > n).unionByName(ties)
+        above += c
+    return counts
 
 
 def transform_branch(docs: DataFrame, chars: Column) -> DataFrame:

@@ -1,7 +1,7 @@
 """Model-judged metrics as staged DataFrames.
 
-Every metric asks with a prompt that ends in a JSON request, reads the answer's fields natively with
-from_json, and reduces them by expressions. Rows that need no call never reach a stage: they are
+Every metric asks with a prompt that ends in a JSON request, reads the fields of the first object or
+array of the answer with from_json, and reduces them by expressions. Rows that need no call never reach a stage: they are
 filtered out before it and joined back after, so no branch of a conditional can trigger a call.
 """
 
@@ -9,25 +9,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from assayer.functions import text as T
 from assayer.functions.metrics import sql_equivalence, topic_adherence
 from assayer.functions.vector import average_precision, clamp, cosine, f1
-from assayer.plans.providers import call_stage
+from assayer.plans.providers import call_stage, json_block
 
 Keep = Callable[[DataFrame], DataFrame]
 UNDEFINED = float("nan")
 
 
+@F.pandas_udf(StringType())
+def _block(answers: pd.Series) -> pd.Series:
+    return answers.map(lambda a: None if a is None else json_block(a))
+
+
+def _parsed(answer: Column, schema: str) -> Column:
+    """The JSON of an answer as schema, or null where it is no JSON of an object or array."""
+    return F.when(F.try_parse_json(_block(answer)).isNotNull(), F.from_json(_block(answer), schema))
+
+
 def ask(df: DataFrame, provider, keep: Keep, prompt: Column, when: Column, schema: str) -> DataFrame:
-    """df with ``got`` (parsed) and ``failed`` (an error's text) for the rows where ``when`` holds."""
+    """df with ``got`` (parsed) and ``failed`` (an error's text) for the rows where ``when`` holds. An
+    answer that cannot be parsed is given back once to be put right; what comes back may be the right
+    JSON or an object with it as ``text``."""
     asked = df.withColumn("_p", F.when(when, prompt))
     answers = call_stage(asked.select(F.col("_p").alias("request")), provider, keep)
-    block = F.regexp_extract("answer", r"(?s)([\[{].*[\]}])", 1)
-    parsed = answers.select(F.col("request").alias("_p"), F.from_json(block, schema).alias("got"), F.col("error").alias("failed"))
-    parsed = parsed.withColumn("failed", F.coalesce("failed", F.when(F.col("got").isNull(), F.lit("parse error"))))
+    parsed = answers.select(F.col("request").alias("_p"), _parsed(F.col("answer"), schema).alias("got"), F.col("error").alias("failed"), "answer")
+    broken = parsed.where("got is null and failed is null").select("_p", F.concat(F.lit("repair this output so that it meets the prompt, as JSON with the key text.\nprompt: "), "_p", F.lit("\noutput: "), F.coalesce("answer", F.lit(""))).alias("request"))
+    if not broken.isEmpty():
+        again = call_stage(broken, provider, keep)
+        inner = F.get_json_object(_block(F.col("answer")), "$.text")
+        again = broken.join(again, "request", "left").select("_p", F.coalesce(F.when(inner.isNotNull(), _parsed(inner, schema)), F.when(inner.isNull(), _parsed(F.col("answer"), schema))).alias("again"), F.col("error").alias("second"))
+        parsed = parsed.join(again, "_p", "left").select("_p", F.coalesce("got", "again").alias("got"), F.coalesce("failed", "second").alias("failed"))
+    parsed = parsed.select("_p", "got", F.coalesce("failed", F.when(F.col("got").isNull(), F.lit("parse error"))).alias("failed"))
     return asked.join(parsed, "_p", "left").drop("_p")
 
 

@@ -12,6 +12,7 @@ import json
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -143,6 +144,17 @@ def parse_embeddings(reply: dict) -> list[list[float]]:
     return [d["embedding"] for d in sorted(reply.get("data") or [], key=lambda d: d.get("index", 0))]
 
 
+def stored(path: str) -> Callable[[DataFrame], DataFrame]:
+    """Writes each table as Parquet below path, which all machines share, and reads it back."""
+
+    def keep(df: DataFrame) -> DataFrame:
+        at = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return df.sparkSession.read.schema(df.schema).parquet(at)
+
+    return keep
+
+
 def call_stage(requests: DataFrame, provider: LlmProvider | EmbeddingProvider, keep: Callable[[DataFrame], DataFrame], cache: DataFrame | None = None, config: RunConfig = RunConfig()) -> DataFrame:
     """(request, answer or vector, error) per distinct request of column ``request``. ``keep`` writes
     a table to storage and reads it back; it is what makes the calls happen once."""

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import ceil
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
-from assayer.functions.text import ascii_lower, is_blank, overlap_themes
+from assayer.functions.text import ascii_lower, is_blank, overlap_themes, text_list, utrim
 from assayer.functions.vector import cosine
 from assayer.operators.aggregates import frequent_items
-from assayer.operators.chunking import chunk_documents
+from assayer.operators.chunking import chunk_documents, pack_words
 from assayer.operators.graph import contains_edges, cosine_pairs, entity_overlap, parent_summary, without
 from assayer.plans.judges import ask
 from assayer.plans.providers import ProviderError, call_stage
@@ -23,15 +25,61 @@ LENGTHS = ["short", "medium", "long"]
 EXTRACTORS = {"summary": ("text", False), "keyphrases": ("keyphrases", True), "title": ("text", False), "headlines": ("headlines", True), "entities": ("entities", True), "themes": ("output", True), "topic_description": ("description", False)}
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _pieces(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [t] if t.strip() and len(t.encode()) <= 32_000 else pack_words(t, 32_000))
+
+
 def extract(nodes: DataFrame, kind: str, provider, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, value) for one extractor; a blank text has an empty value and no call."""
+    """(id, value) for one extractor, asked of texts in pieces of up to 32,000 bytes: single values come
+    from the first piece, lists from all. A blank text has an empty value and no call; a failed call
+    fails the stage."""
     key, many = EXTRACTORS[kind]
-    text = F.col("props")["text"]
-    asked = nodes.select("id", F.when(F.trim(text) != "", F.concat(F.lit(f"extract {kind}: "), text)).alias("request"))
+    pieces = nodes.select("id", F.posexplode_outer(_pieces(F.coalesce(F.col("props")["text"], F.lit("")))).alias("k", "piece"))
+    pieces = pieces if many else pieces.where("k is null or k = 0")
+    told = keep(ask(pieces, provider, keep, F.concat(F.lit(f"extract {kind}: "), "piece"), F.col("piece").isNotNull(), f"{key} {'array<string>' if many else 'string'}"))
+    told = _sound(told)
+    v = F.col("got")[key]
+    if not many:
+        return told.select("id", F.coalesce(v, F.lit("")).alias("value"))
+    rows = told.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce(v, F.array().cast("array<string>")).alias("v")))).alias("s"))
+    return rows.select("id", F.flatten(F.transform("s", lambda x: x["v"])).alias("value"))
+
+
+def extract_bundle(nodes: DataFrame, provider, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, entities, themes, summary) of each node."""
+    parts = [extract(nodes, k, provider, keep).withColumnRenamed("value", k) for k in ("entities", "themes", "summary")]
+    return parts[0].join(parts[1], "id").join(parts[2], "id")
+
+
+def parse_bundle(answers: DataFrame) -> DataFrame:
+    """A bundle (entities, themes, summary) per row of (id, answer); what is no such JSON is an error."""
+    got = answers.select("id", F.from_json("answer", "entities array<string>, themes array<string>, summary string").alias("g"), F.try_parse_json("answer").alias("j"))
+    bad = got.where("j is null or g.summary is null or g.entities is null or g.themes is null").first()
+    if bad:
+        raise ProviderError(f"parse error: node {bad['id']} has no bundle of entities, themes and summary")
+    return got.select("id", "g.*")
+
+
+def attach_extractions(nodes: DataFrame, bundles: DataFrame) -> DataFrame:
+    """Writes bundles into props, lists trimmed, without blanks, sorted and each value once."""
+    for name in ("entities", "themes"):
+        nodes = with_property(nodes, bundles.select("id", text_list(F.col(name)).alias("value")), name)
+    return with_property(nodes, bundles.select("id", utrim(F.col("summary")).alias("value")), "summary")
+
+
+def embed(nodes: DataFrame, provider, keep: Callable[[DataFrame], DataFrame], source: str = "text", name: str = "embedding") -> DataFrame:
+    """Nodes with the vector of one of their properties in props, as JSON; a node without that property
+    is an error."""
+    lacking = nodes.where(F.col("props")[source].isNull()).first()
+    if lacking:
+        raise ValueError(f"node {lacking['id']} has no property {source}")
+    asked = nodes.select("id", F.col("props")[source].alias("request"))
     got = call_stage(asked, provider, keep)
-    parsed = F.from_json("answer", f"{key} {'array<string>' if many else 'string'}")[key]
-    empty = F.array().cast("array<string>") if many else F.lit("")
-    return asked.join(got.select("request", parsed.alias("v"), "error"), "request", "left").select("id", F.coalesce("v", empty).alias("value"), "error")
+    bad = got.where("error is not null").first()
+    if bad:
+        raise ProviderError(bad["error"])
+    return with_property(nodes, asked.join(got, "request").select("id", F.col("vector").alias("value")), name)
 
 
 def with_property(nodes: DataFrame, values: DataFrame, name: str) -> DataFrame:
@@ -77,7 +125,7 @@ def similarity_edges(vectors: DataFrame, threshold: float, score: str = "cosine_
 def overlap_edges(items: DataFrame, at: float = 0.9, least: float = 0.01) -> DataFrame:
     """Edges between nodes whose entities match, the noisiest entities left out. items: (grp, item, position)."""
     noisy = frequent_items(items).select("item")
-    return entity_overlap(items.join(F.broadcast(noisy), "item", "left_anti"), at, least)
+    return entity_overlap(items.join(noisy, "item", "left_anti"), at, least)
 
 
 def single_hop_scenarios(themes: DataFrame, personas: DataFrame, n: int) -> DataFrame:
