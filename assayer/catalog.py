@@ -95,7 +95,15 @@ def rouge2_f_pairs(spark, d):
     return _tokens(spark, d).select("conv_id", "turn", r6(T.rouge(F.col("a"), F.col("b"), "2", "f")).alias("score"))
 
 
-@query()
+# The longest common subsequence by rows over the longer side: a cell is the greatest of the one above
+# and, over the matches up to it, of one more than the cell above and before the match.
+_LCS = f"""{TOKENS}, o AS (SELECT conv_id, turn, len(b) AS m, CASE WHEN len(a) < len(b) THEN b ELSE a END AS l, CASE WHEN len(a) < len(b) THEN a ELSE b END AS s FROM t),
+r AS (SELECT conv_id, turn, m, l, s, 0 AS i, list_transform(s, lambda x: 0) AS row FROM o UNION ALL
+ SELECT conv_id, turn, m, l, s, i + 1, list_transform(range(1, len(s) + 1), lambda j: greatest(row[j], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: s[k] = l[i + 1]), lambda k: CASE WHEN k = 1 THEN 0 ELSE row[k - 1] END + 1)), 0))) FROM r WHERE i < len(l))
+SELECT conv_id, turn, round(CASE WHEN m = 0 THEN 0.0 ELSE coalesce(list_max(row), 0) / m END, 6) AS score FROM r WHERE i = len(l)""".replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_LCS)
 def rouge_l_pairs(spark, d):
     return _tokens(spark, d).select("conv_id", "turn", r6(T.rouge_l_recall(F.col("a"), F.col("b"))).alias("score"))
 
@@ -431,7 +439,10 @@ def text_counts(spark, d):
     return t.select("doc_id", T.token_count(F.col("text")).cast("long").alias("tokens"), F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
-@query()
+# Chunks closed so far and the bytes of the open one, as one number.
+@query("""WITH w AS (SELECT doc_id, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda x: strlen(x)::BIGINT) AS n FROM documents),
+c AS (SELECT doc_id, list_reduce(n, lambda a, x: CASE WHEN a % 10000000 + 1 + x > 256 THEN (a // 10000000 + 1) * 10000000 + x ELSE a + 1 + x END) // 10000000 + 1 AS chunks FROM w WHERE len(n) > 0)
+SELECT doc_id || '-chunk-' || i AS id, doc_id::VARCHAR AS source_id, i::INT AS chunk_index FROM (SELECT doc_id, unnest(range(chunks)) AS i FROM c)""")
 def chunk_documents_bytes(spark, d):
     return chunk_documents(table(spark, d, "documents"), 256).drop("text")
 
@@ -450,7 +461,8 @@ def _kept(spark):
     return lambda df: df.cache()
 
 
-@query()
+@query(f"""WITH {PAIRS}, s AS (SELECT conv_id * 1000 + turn AS sample_index, list_filter(list_transform(string_split(answer, '.'), lambda x: trim(x, ' \n\t\r')), lambda x: x <> '') AS s, string_split_regex(lower(question || chr(10) || reference), '\\s+') AS k FROM pairs)
+SELECT sample_index, round(CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: len(list_intersect(list_filter(string_split_regex(lower(x), '\\s+'), lambda y: y <> ''), k)) > 0)) / len(s) END, 6) AS score, NULL::VARCHAR AS error FROM s""")
 def faithfulness_scripted(spark, d):
     return judges.faithfulness(_samples(spark, d), Scripted(rule_judge), _kept(spark)).select("sample_index", r6(F.nanvl("value", F.lit(None).cast("double"))).alias("score"), "error")
 
@@ -468,3 +480,96 @@ round(1 - levenshtein(answer, reference) / greatest(length(answer), length(refer
 def evaluate_native(spark, d):
     s = evaluate(_samples(spark, d), ["exact_match", "string_similarity"])
     return s.groupBy("sample_index").pivot("metric_name", ["exact_match", "string_similarity"]).agg(F.first("value")).select("sample_index", "exact_match", r6(F.col("string_similarity")).alias("string_similarity"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding AS v, label, (vec_id % 7)::DOUBLE / 4 - 0.25 AS raw FROM embeddings),
+g AS (SELECT vec_id, v, label, raw, least(1, greatest(0, raw)) AS c, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)))::FLOAT AS norm, (vec_id % 5)::INT AS tp, (vec_id % 3)::INT AS fp FROM e)
+SELECT vec_id, c AS clamped, CASE WHEN raw BETWEEN 0 AND 1 THEN raw END AS accepted, CASE WHEN raw BETWEEN 0 AND 1 THEN NULL ELSE 'metric task failed: the score is not in [0, 1]' END AS error,
+ (c >= 0.5)::DOUBLE AS critic, round(CASE WHEN norm > 0 THEN list_sum(list_transform(v, lambda x: (x::FLOAT / norm)::DOUBLE)) ELSE 0 END, 3) AS unit_sum, (len(list_filter(v, lambda x: x <> 0)) = 0) AS zero,
+ round(CASE WHEN 2 * tp + fp + label > 0 THEN 2 * tp / (2 * tp + fp + label) ELSE 0.0 END, 6) AS f1, round((c * 0.25 + tp / 4 * 0.75), 6) AS correctness, round(greatest(0, c - tp / 4), 6) AS noise,
+ round(CASE WHEN fp = 0 THEN 1.0 ELSE least(tp, fp) / fp END, 6) AS share, printf('%.6f', raw) AS printed FROM g""")
+def score_helpers(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label", ((F.col("vec_id") % 7).cast("double") / 4 - 0.25).alias("raw"), (F.col("vec_id") % 5).cast("int").alias("tp"), (F.col("vec_id") % 3).cast("int").alias("fp"))
+    made, c = M.numeric_result(F.col("raw")), V.normalized_score(F.col("raw"))
+    return e.select(
+        "vec_id", c.alias("clamped"), V.normalized_score(F.col("raw"), "reject").alias("accepted"), made["error"].alias("error"), M.aspect_critic(F.col("raw"), 0.5).alias("critic"),
+        F.round(F.aggregate(V.l2_normalized(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 3).alias("unit_sum"), V.is_zero(F.col("embedding")).alias("zero"),
+        r6(V.f1(F.col("tp"), F.col("fp"), F.col("label"))).alias("f1"), r6(V.answer_correctness(F.col("raw"), F.col("tp") / 4)).alias("correctness"), r6(V.noise_sensitivity(F.col("raw"), F.col("tp") / 4)).alias("noise"),
+        r6(M.ratio(F.least("tp", "fp"), F.col("fp"), 1.0)).alias("share"), G.printed(F.col("raw")).alias("printed"),
+    )
+
+
+@query("""WITH o AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"score": 0.5, "reason": "fine"}' WHEN 1 THEN 'so {"score": 1} it is' WHEN 2 THEN '{"score": "high"}' WHEN 3 THEN '{"score": 2, "reason": 7}' ELSE 'none' END AS j, event_id % 5 AS k, value, event_type FROM events)
+SELECT event_id, CASE k WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 END AS score, CASE k WHEN 0 THEN 'fine' END AS reason, k = 1 AS repaired, k NOT IN (0, 1) AS failed, CASE WHEN event_id % 4 < 3 THEN round((event_id % 4 / 2 + 0.5) / 2, 6) END AS summary,
+ CASE WHEN event_id % 2 = 0 THEN '[text] ' || event_type || chr(10) || '[image image/png] u' END AS scaffold FROM o""")
+def judge_outputs(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", (F.col("event_id") % 5).alias("k"), (F.col("event_id") % 4).alias("m"))
+    says = F.when(F.col("k") == 0, '{"score": 0.5, "reason": "fine"}').when(F.col("k") == 1, 'so {"score": 1} it is').when(F.col("k") == 2, '{"score": "high"}').when(F.col("k") == 3, '{"score": 2, "reason": 7}').otherwise("none")
+    e = e.withColumn("j", M.judge_score(says, repair=True)).withColumn("s", M.summarization_score(F.concat(F.lit('{"coverage": '), (F.col("m") / 2).cast("string"), F.lit(', "conciseness": 0.5}'))))
+    part = lambda kind, text, mime: F.struct(F.lit(kind).alias("kind"), text.alias("text"), mime.alias("mime"))
+    parts = F.array(part("text", F.col("event_type"), F.lit(None).cast("string")), part("image", F.lit("u"), F.when(F.col("event_id") % 2 == 0, "image/png").otherwise("image/tiff")))
+    return e.select("event_id", "j.score", "j.reason", "j.repaired", F.col("j.error").isNotNull().alias("failed"), r6(F.col("s.value")).alias("summary"), M.prompt_scaffold(parts).alias("scaffold"))
+
+
+@query("""WITH l AS (SELECT doc_id, text, string_split_regex(text, '[.?!;]') AS c, regexp_extract_all(text, '(?m)^#{1,6}[^\\S\\n]+(\\S[^\\n]*)$', 1) AS h FROM documents)
+SELECT doc_id, len(list_filter(list_transform(c, lambda x: trim(x, ' \n\t\r')), lambda x: x <> ''))::INT AS claims, len(h)::INT AS headings,
+ CASE WHEN length(text) <= 10 THEN '***' ELSE substr(text, 1, 6) || '...' || right(text, 4) END AS masked, length(regexp_replace(text, '[ \t\n\r\f;]', '', 'g')) AS squeezed FROM l""")
+def text_helpers(spark, d):
+    t, c = table(spark, d, "documents"), F.col("text")
+    return t.select("doc_id", F.size(T.claims(c)).alias("claims"), F.size(T.headings(c)).alias("headings"), T.mask_secret(c).alias("masked"), F.char_length(T.squeeze_sql(c)).cast("long").alias("squeezed"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS ord, least('n' || c_nationkey, 'c' || c_custkey % 40) AS a, greatest('n' || c_nationkey, 'c' || c_custkey % 40) AS b FROM customer) SELECT a, b, min(ord) AS ord FROM c WHERE a <> b GROUP BY ALL""")
+def first_edges(spark, d):
+    e = table(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.concat(F.lit("n"), "c_nationkey").alias("source_id"), F.concat(F.lit("c"), (F.col("c_custkey") % 40).cast("string")).alias("target_id"))
+    return G.first_edge_per_pair(e).select("a", "b", "ord")
+
+
+@query("""SELECT 'c' || c_custkey AS id, n_name AS parent_summary FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND c_acctbal <= 5000""")
+def parent_summaries(spark, d):
+    n, e = _graph(spark, d)
+    n = n.withColumn("props", F.create_map(F.lit("summary"), F.col("props")["name"]))
+    return G.parent_summary(n, e).where("node_type = 'customer'").select("id", "parent_summary")
+
+
+@query("""WITH h AS (SELECT l_suppkey % 10 AS s, list(DISTINCT l_linenumber) AS x FROM lineitem WHERE l_quantity > 49 GROUP BY 1)
+SELECT s, len(list_filter(x, lambda v: v NOT IN (1, 2, 3, 4))) = 0 AS inside FROM h""")
+def id_subsets(spark, d):
+    h = table(spark, d, "lineitem").where("l_quantity > 49").groupBy((F.col("l_suppkey") % 10).alias("s")).agg(F.collect_set("l_linenumber").alias("x"))
+    return h.select("s", A.subset_of(F.col("x"), F.array(*map(F.lit, range(1, 5)))).alias("inside"))
+
+
+@query("""SELECT round(sum(floor(value)::BIGINT) * 0.25 + sum(event_id % 100) * 0.25, 6) AS cost FROM events""")
+def run_cost(spark, d):
+    return A.estimated_cost(_journal(spark, d), 0.25).select(r6(F.col("cost")).alias("cost"))
+
+
+@query(f"""{_SCORES} SELECT 'nightly' AS experiment, metric_name, round(avg(value), 6) AS mean, 'x' AS model FROM s WHERE value IS NOT NULL GROUP BY 2""")
+def experiment_summary(spark, d):
+    return A.summarize(_scores(spark, d), "nightly", {"model": "x"}).select("experiment", "metric_name", r6(F.col("mean")).alias("mean"), F.col("metadata")["model"].alias("model"))
+
+
+@query("""SELECT c_custkey, array_to_string(list_transform(list_filter([CASE WHEN c_acctbal > 0 THEN 'authorization' END, 'note'], lambda k: k IS NOT NULL), lambda k: k || '=' || CASE WHEN k = 'authorization' THEN '[REDACTED]' ELSE c_name END), ',') AS shown FROM customer""")
+def redacted_fields(spark, d):
+    m = F.create_map(F.lit("authorization"), F.when(F.col("c_acctbal") > 0, F.lit("abc")), F.lit("note"), F.col("c_name"))
+    m = F.map_filter(m, lambda _, v: v.isNotNull())
+    return table(spark, d, "customer").select("c_custkey", F.array_join(F.transform(F.array_sort(F.map_entries(T.redact_map(m))), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("shown"))
+
+
+@query("""WITH n AS (SELECT 'n' || n_nationkey AS id, 'document' AS t, n_regionkey > 0 AS has FROM nation UNION ALL SELECT 'c' || c_custkey, 'chunk', c_acctbal > 9000 FROM customer), k AS (SELECT count(*) FILTER (WHERE t = 'chunk') AS c, count(*) FILTER (WHERE t = 'document') AS d FROM n WHERE has)
+SELECT id FROM n, k WHERE has AND t = CASE WHEN c > d THEN 'chunk' ELSE 'document' END""")
+def entity_node_choice(spark, d):
+    n, c = table(spark, d, "nation"), table(spark, d, "customer")
+    held = lambda c: F.create_map(F.lit("entities"), F.when(c, '["x"]').otherwise("[]"))
+    nodes = n.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit("document").alias("node_type"), held(F.col("n_regionkey") > 0).alias("props"))
+    return G.entity_nodes(nodes.unionByName(c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("chunk").alias("node_type"), held(F.col("c_acctbal") > 9000).alias("props")))).select("id")
+
+
+@query("""WITH w AS (SELECT doc_id, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda x: strlen(x)::BIGINT) AS n FROM documents),
+c AS (SELECT doc_id, list_reduce(n, lambda a, x: CASE WHEN a % 10000000 + 1 + x > 1000 THEN (a // 10000000 + 1) * 10000000 + x ELSE a + 1 + x END) // 10000000 + 1 AS chunks FROM w WHERE len(n) > 0)
+SELECT doc_id || '-chunk-' || i AS source_node_ids, 'single-hop' AS synthesis_type FROM (SELECT doc_id, unnest(range(chunks)) AS i FROM c)
+UNION ALL SELECT doc_id || '-chunk-' || i || ',' || doc_id || '-chunk-' || (i + 1), 'multi-hop' FROM (SELECT doc_id, unnest(range(chunks - 1)) AS i FROM c)""")
+def testset_scripted(spark, d):
+    from assayer.plans.transforms import generate_testset
+
+    return generate_testset(table(spark, d, "documents"), Scripted(lambda p: '{"question": "what?", "answer": "that"}'), _kept(spark)).select("source_node_ids", "synthesis_type")

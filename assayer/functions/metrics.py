@@ -116,6 +116,70 @@ def tool_call_f1(actual: Column, expected: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
+def ratio(n: Column, d: Column, of_nothing: float = 0.0) -> Column:
+    """A share; what a share of nothing is, differs between families of metrics."""
+    return F.when(d == 0, F.lit(of_nothing)).otherwise(n / d)
+
+
+def numeric_result(score: Column) -> Column:
+    """(value, error) of a score that must lie in [0, 1]: one outside is an error of its row alone."""
+    good = score.between(0, 1) & ~F.isnan(score)
+    return F.struct(F.when(good, score).alias("value"), F.when(~good, F.lit("metric task failed: the score is not in [0, 1]")).alias("error"))
+
+
+def aspect_critic(score: Column, threshold: float | None = None) -> Column:
+    """A judge's score between 0 and 1, or with a threshold whether it is reached."""
+    c = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
+    return c if threshold is None else (c >= threshold).cast("double")
+
+
+def judge_score(output: Column, repair: bool = False) -> Column:
+    """(score, reason, repaired, error) of a judge's JSON with a numeric score and perhaps a reason in
+    text; with repair the part from the first to the last brace is read. An error quotes the first 80
+    characters."""
+    cut = F.regexp_extract(output, r"(?s)\{.*\}", 0) if repair else output
+    cut = F.when(cut != "", cut).otherwise(output)
+    j = F.try_parse_json(cut)
+    score, reason = F.try_variant_get(j, "$.score", "double"), F.try_variant_get(j, "$.reason", "string")
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(j, path, "variant"))
+    number = F.startswith(kind("$.score"), F.lit("BIGINT")) | F.startswith(kind("$.score"), F.lit("DECIMAL")) | F.startswith(kind("$.score"), F.lit("DOUBLE"))
+    said = kind("$.reason")
+    wrong = F.when(j.isNull(), "judge output is no JSON").when(~F.coalesce(number, F.lit(False)), "judge output has no numeric score").when(said.isNotNull() & ~said.isin("STRING", "VOID"), "judge output has a reason that is no text")
+    error = F.when(wrong.isNotNull(), F.concat(wrong, F.lit(": "), F.left(output, F.lit(80))))
+    return F.struct(F.when(error.isNull(), score).alias("score"), F.when(error.isNull() & (said == "STRING"), reason).alias("reason"), (error.isNull() & (cut != output)).alias("repaired"), error.alias("error"))
+
+
+def summarization_score(output: Column) -> Column:
+    """(value, error): the mean of coverage and conciseness in a judge's JSON, each from 0 to 1."""
+    g = F.from_json(output, "coverage double, conciseness double")
+    inside = lambda c: F.coalesce(c.between(0, 1), F.lit(False))
+    error = F.when(F.try_parse_json(output).isNull() | g["coverage"].isNull() | g["conciseness"].isNull(), "summarization judge output cannot be parsed")
+    error = F.coalesce(error, F.when(~inside(g["coverage"]), "coverage must be in [0, 1]"), F.when(~inside(g["conciseness"]), "conciseness must be in [0, 1]"))
+    return F.struct(F.when(error.isNull(), (g["coverage"] + g["conciseness"]) / 2).alias("value"), error.alias("error"))
+
+
+# The image types that prompts may hold.
+IMAGE_TYPES = ("image/png", "image/jpeg", "image/webp", "image/gif")
+
+
+def prompt_scaffold(parts: Column) -> Column:
+    """Lines for the parts (kind, text, mime) of a prompt; null where an image is of another type."""
+    line = lambda p: F.when(p["kind"] == "text", F.concat(F.lit("[text] "), p["text"])).otherwise(F.concat(F.lit("[image "), p["mime"], F.lit("] "), p["text"]))
+    good = F.forall(parts, lambda p: (p["kind"] == "text") | p["mime"].isin(*IMAGE_TYPES))
+    return F.when(good, F.array_join(F.transform(parts, line), "\n"))
+
+
+def multimodal_score(parts: Column, score: Column) -> Column:
+    """(value, error) of a judged prompt with images."""
+    bad = prompt_scaffold(parts).isNull()
+    return F.struct(F.when(~bad, F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))).alias("value"), F.when(bad, F.lit("unsupported media type")).alias("error"))
+
+
+def achieved_share(done: Column) -> Column:
+    """Of an array of truth values the share that holds; 1 without any."""
+    return ratio(F.size(F.filter(done, lambda x: x)), F.size(done), 1.0)
+
+
 def sql_equivalence(response: Column, reference: Column, judged: Column | None = None) -> Column:
     """1 for equal normalised statements; a judge's verdict decides the others."""
     return F.when(T.normalize_sql(response) == T.normalize_sql(reference), F.lit(1.0)).otherwise(F.lit(0.0) if judged is None else judged)

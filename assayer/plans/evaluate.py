@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, as_completed
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +55,7 @@ def evaluate(samples: DataFrame, metrics: dict[str, Column] | list[str], staged:
     (sample_index, value, error). Tokens are computed once per sample. A native metric that cannot be
     computed is an error, not a score.
     """
-    columns = {m: NATIVE[m]() for m in metrics} if isinstance(metrics, list) else metrics
+    columns = {m: resolve(m)() for m in metrics} if isinstance(metrics, list) else metrics
     d = samples.withColumn("a_tokens", T.ws_tokens(_r())).withColumn("b_tokens", T.ws_tokens(F.coalesce(_g(), F.lit(""))))
     out = None
     if columns:
@@ -64,6 +67,67 @@ def evaluate(samples: DataFrame, metrics: dict[str, Column] | list[str], staged:
     return out.select("sample_index", "metric_index", "metric_name", "value", "error")
 
 
+def names() -> list[str]:
+    """The metrics that need no provider, sorted."""
+    return sorted(NATIVE)
+
+
+def resolve(name: str) -> Callable[[], Column]:
+    if name not in NATIVE:
+        raise KeyError(f"no metric {name}; known: {', '.join(names())}")
+    return NATIVE[name]
+
+
+class MetricFailed(RuntimeError):
+    """The first failure of a run, in the order of samples and metrics."""
+
+
+def ordered(scores: DataFrame) -> DataFrame:
+    """Cells in the order of samples and metrics."""
+    return scores.orderBy("sample_index", "metric_index")
+
+
+def fail_fast(scores: DataFrame) -> DataFrame:
+    """scores, if no cell has failed; else an error that tells the first of them. One row is looked
+    for, not the table sorted."""
+    bad = scores.where("error is not null").agg(F.min(F.struct("sample_index", "metric_index", "metric_name", "error")).alias("e")).first()["e"]
+    if bad:
+        raise MetricFailed(f"sample {bad['sample_index']}, metric {bad['metric_name']}: {bad['error']}")
+    return scores
+
+
+def notify(scores: DataFrame, observers: list[Callable[[dict], None]]) -> None:
+    """Tells observers of the run's events one after the other; an observer that raises is passed over."""
+    for r in events(scores).orderBy("sample_index", "metric_index", F.col("kind") != "metric_started").toLocalIterator():
+        for tell in observers:
+            with contextlib.suppress(Exception):
+                tell(r.asDict())
+
+
+def in_order(tasks: list[Callable[[], object]], concurrency: int = 16, progress: Callable[[int, int], None] | None = None, raise_errors: bool = False) -> list:
+    """Results of the driver's own tasks in their order, up to ``concurrency`` at a time; a failed one
+    gives its exception, or with ``raise_errors`` raises the first. progress is told (done, all)."""
+    done = 0
+    with ThreadPoolExecutor(concurrency) as pool:
+        futures = [pool.submit(t) for t in tasks]
+        if progress:
+            for _ in as_completed(futures):
+                done += 1
+                progress(done, len(tasks))
+        out = [f.exception() or f.result() for f in futures]
+    bad = next((x for x in out if isinstance(x, BaseException)), None)
+    if raise_errors and bad is not None:
+        raise bad
+    return out
+
+
+def write_report(rows: list, path: str) -> None:
+    """One JSON file with a row per metric; what is not a number is null."""
+    clean = [{k: None if isinstance(v, float) and v != v else v for k, v in r.asDict().items()} for r in rows]
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"metrics": sorted(clean, key=lambda r: r["metric_name"])}, f, indent=2, sort_keys=True)
+
+
 def events(scores: DataFrame) -> DataFrame:
     """What an observer of the run would be told, as rows."""
     kind = F.when(F.col("error").isNull(), "metric_succeeded").otherwise("metric_failed")

@@ -14,8 +14,18 @@ class PromptError(ValueError):
     pass
 
 
-def render(template: str, values: dict[str, str | float | bool], language: str | None = None) -> str:
-    """Puts values for {{names}}; one that is missing is an error."""
+KINDS = {"text": str, "number": (int, float), "boolean": bool}
+
+
+def render(template: str, values: dict[str, str | float | bool], language: str | None = None, kinds: dict[str, str] | None = None) -> str:
+    """Puts values for {{names}}; one that is missing is an error, and so is one of another kind (text,
+    number or boolean) than kinds asks for, and what is left of braces."""
+    for name, kind in (kinds or {}).items():
+        v = values.get(name)
+        if name not in values:
+            raise PromptError(f"no value for {name}")
+        if not isinstance(v, KINDS[kind]) or kind == "number" and isinstance(v, bool):
+            raise PromptError(f"{name} must be a {kind}")
 
     def put(m: re.Match) -> str:
         if m[1] not in values:
@@ -24,9 +34,28 @@ def render(template: str, values: dict[str, str | float | bool], language: str |
         return str(v).lower() if isinstance(v, bool) else str(v)
 
     out = re.sub(r"\{\{\s*(\w+)\s*\}\}", put, template)
+    left = re.search(r"\{\{[^}]*\}\}", re.sub(r"\{\{\s*(\w+)\s*\}\}", "", template))
+    if left:
+        raise PromptError(f"cannot be filled: {left[0]}")
     return f"Answer in {language}.\n{out}" if language else out
 
 
+def differences(made: dict, expected: dict) -> list[str]:
+    """Fields in which a made sample departs from an expected one, by name."""
+    return [f"{k}: {made.get(k)!r} is not {expected.get(k)!r}" for k in sorted({*made, *expected}) if made.get(k) != expected.get(k)]
+
+
+def trial_plan(instructions: int, demonstrations: int, trials: int, seed: int = 42) -> list[tuple[int, int, int]]:
+    """(trial, instruction, demonstration set) of a search over both, drawn from the seed."""
+    if min(instructions, demonstrations, trials) < 1:
+        raise PromptError("a plan needs instructions, demonstrations and trials")
+    out = []
+    for t in range(trials):
+        seed = next_seed(seed)
+        out.append((t, (seed >> 33) % instructions, (seed >> 17) % demonstrations))
+    return out
+
+
 def fnv1a(data: bytes) -> str:
     """The 64-bit FNV-1a hash, in 16 digits."""
     h = 0xCBF29CE484222325

@@ -9,16 +9,22 @@ the journal before anyone reads them: a repeated action or a lost task's retry r
 from __future__ import annotations
 
 import json
+import os
+import queue
+import re
+import threading
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,12 +64,33 @@ class RunConfig:
             raise ValueError("first_wait must not exceed most_wait")
 
 
+def _in_time(call: Callable[[], list], milliseconds: int) -> list:
+    """The call's result, or a TimeoutError after that time; a call that hangs is left behind."""
+    out: queue.Queue = queue.Queue()
+
+    def run() -> None:
+        try:
+            out.put((call(), None))
+        except BaseException as e:
+            out.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        value, error = out.get(timeout=milliseconds / 1000)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {milliseconds} ms") from None
+    if error:
+        raise error
+    return value
+
+
 def with_retries(call: Callable[[], list], config: RunConfig, sleep: Callable[[float], None] = time.sleep) -> list:
-    """Exponential back-off up to ``most_wait``; an unfinished answer is final."""
+    """Each attempt within ``timeout``, with exponential back-off up to ``most_wait`` between them; an
+    unfinished answer is final."""
     wait = config.first_wait
     for left in range(config.attempts - 1, -1, -1):
         try:
-            return call()
+            return _in_time(call, config.timeout)
         except NotFinished:
             raise
         except Exception:
@@ -113,19 +140,36 @@ class HttpProvider:
     model: str
     api_key: str = ""
     timeout: float = 180.0
+    #: Names the header that holds the bare key, where that is not the usual bearer's.
+    key_header: str = ""
+    query: dict[str, str] = field(default_factory=dict)
+
+    def request(self, path: str, body: dict) -> urllib.request.Request:
+        head = {"Content-Type": "application/json"}
+        if self.api_key:
+            head |= {self.key_header: self.api_key} if self.key_header else {"Authorization": f"Bearer {self.api_key}"}
+        tail = "?" + urllib.parse.urlencode(self.query) if self.query else ""
+        return urllib.request.Request(self.base_url.rstrip("/") + path + tail, json.dumps(body).encode(), head)
 
     def _post(self, path: str, body: dict) -> dict:
-        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
-        r = urllib.request.Request(self.base_url.rstrip("/") + path, json.dumps(body).encode(), head)
+        r = self.request(path, body)
         try:
             with urllib.request.urlopen(r, timeout=self.timeout) as f:
                 return json.load(f)
         except urllib.error.HTTPError as e:
-            raise ProviderError(f"provider error: status {e.code}: {e.read(2048).decode(errors='replace')}".replace(self.api_key or "\0", "***")) from None
+            raise ProviderError(f"provider error: status {e.code}: {safe_body(e.read().decode(errors='replace'), self.api_key)}") from None
 
     def generate(self, prompts: list[str]) -> list[str]:
         return [parse_chat(self._post("/chat/completions", {"model": self.model, "messages": [{"role": "user", "content": p}]})) for p in prompts]
 
+    def generate_metered(self, prompts: list[str]) -> list[tuple[str, int | None, int | None]]:
+        out = []
+        for p in prompts:
+            reply = self._post("/chat/completions", {"model": self.model, "messages": [{"role": "user", "content": p}]})
+            used = reply.get("usage") or {}
+            out.append((parse_chat(reply), used.get("prompt_tokens"), used.get("completion_tokens")))
+        return out
+
     def embed(self, texts: list[str]) -> list[list[float]]:
         return parse_embeddings(self._post("/embeddings", {"model": self.model, "input": texts}))
 
@@ -155,31 +199,144 @@ def stored(path: str) -> Callable[[DataFrame], DataFrame]:
     return keep
 
 
+def safe_body(body: str, secret: str = "", most: int = 2048) -> str:
+    """A reply's text for an error: cut, without the key and without bearer tokens."""
+    body = body.replace(secret, "***") if secret else body
+    body = re.sub(r"(?i)(bearer\s+)[^\s\"',}]+", r"\1***", body)
+    return body if len(body) <= most else body[:most] + "..."
+
+
+@dataclass(frozen=True)
+class Normalized:
+    """An embedding provider whose vectors are brought to length 1; zero vectors stay."""
+
+    inner: EmbeddingProvider
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for v in self.inner.embed(texts):
+            n = sum(x * x for x in v) ** 0.5
+            out.append([x / n for x in v] if n else v)
+        return out
+
+
 def call_stage(requests: DataFrame, provider: LlmProvider | EmbeddingProvider, keep: Callable[[DataFrame], DataFrame], cache: DataFrame | None = None, config: RunConfig = RunConfig()) -> DataFrame:
-    """(request, answer or vector, error) per distinct request of column ``request``. ``keep`` writes
-    a table to storage and reads it back; it is what makes the calls happen once."""
-    embeds = not hasattr(provider, "generate")
+    """(request, answer or vector, error) per distinct request of column ``request``, and the tokens of
+    providers that meter them (``generate_metered``). ``keep`` writes a table to storage and reads it
+    back; it is what makes the calls happen once. A task makes up to ``concurrency`` calls at a time;
+    with ``raise_errors`` the first failure of the stage is raised."""
+    embeds, meters = not hasattr(provider, "generate"), hasattr(provider, "generate_metered")
     out = "vector array<float>" if embeds else "answer string"
     name = out.split()[0]
     todo = requests.select("request").where("request is not null").distinct()
     if cache is not None:
         todo = todo.join(cache.where("error is null").select("request"), "request", "left_anti")
 
+    def one(asked: list[str]) -> pd.DataFrame:
+        call = provider.embed if embeds else provider.generate_metered if meters else provider.generate
+        try:
+            got, errors = with_retries(lambda: call(asked), config), [None] * len(asked)
+            if len(got) != len(asked):
+                raise ProviderError(f"expected {len(asked)} results, got {len(got)}")
+        except Exception as e:
+            got, errors = [None] * len(asked), [f"{e} (batch of {len(asked)})" if embeds else str(e)] * len(asked)
+        if not meters:
+            return pd.DataFrame({"request": asked, name: got, "error": errors})
+        parts = [x or (None, None, None) for x in got]
+        return pd.DataFrame({"request": asked, name: [x[0] for x in parts], "error": errors, "prompt_tokens": pd.array([x[1] for x in parts], "Int64"), "completion_tokens": pd.array([x[2] for x in parts], "Int64")})
+
+    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(config.concurrency) as pool:
+            for pdf in stream:
+                yield from pool.map(one, [pdf["request"].iloc[s : s + config.batch].tolist() for s in range(0, len(pdf), config.batch)])
+
+    schema = f"request string, {out}, error string" + (", prompt_tokens long, completion_tokens long" if meters else "")
+    fresh = keep(todo.repartition("request").mapInPandas(run, schema))
+    if config.raise_errors:
+        bad = fresh.where("error is not null").orderBy("request").first()
+        if bad:
+            raise ProviderError(bad["error"])
+    if cache is not None:
+        known = cache.where("error is null").select("request", name, "error").join(requests.select("request").distinct(), "request", "left_semi")
+        fresh = fresh.unionByName(known, allowMissingColumns=True)
+    return fresh
+
+
+def usage_rows(stage: DataFrame, provider: str, metric: str) -> DataFrame:
+    """The journal rows (provider, metric_name, tokens) of a metered stage's successful calls."""
+    ok = stage.where("error is null and (prompt_tokens is not null or completion_tokens is not null)")
+    total = F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))
+    return ok.select(F.lit(provider).alias("provider"), F.lit(metric).alias("metric_name"), "prompt_tokens", "completion_tokens", total.alias("total_tokens"))
+
+
+class Registry:
+    """Providers by name."""
+
+    def __init__(self) -> None:
+        self._of: dict[str, object] = {}
+
+    def register(self, name: str, provider: object) -> None:
+        self._of[name] = provider
+
+    def get(self, name: str) -> object:
+        if name not in self._of:
+            raise ProviderError(f"no provider {name}; known: {', '.join(self.names())}")
+        return self._of[name]
+
+    def names(self) -> list[str]:
+        return sorted(self._of)
+
+
+@dataclass(frozen=True)
+class ProviderConfig:
+    """Where the models are: from the environment, else from a file of NAME=value lines, else defaults."""
+
+    base_url: str = "http://localhost:8000/v1"
+    model: str = "default"
+    embedding_model: str = "default"
+    api_key: str = ""
+    timeout_ms: int = 180_000
+    attempts: int = 10
+
+    @classmethod
+    def load(cls, environ: dict[str, str], file: str | None = None, prefix: str = "ASSAYER_") -> ProviderConfig:
+        held = {}
+        if file and os.path.exists(file):
+            with open(file, encoding="utf-8") as f:
+                for line in f:
+                    k, eq, v = line.strip().partition("=")
+                    if eq and not k.startswith("#"):
+                        held[k.removeprefix("export ").strip()] = v.strip().strip("\"'")
+        values = {}
+        for name, kind in (("base_url", str), ("model", str), ("embedding_model", str), ("api_key", str), ("timeout_ms", int), ("attempts", int)):
+            raw = environ.get(prefix + name.upper(), held.get(prefix + name.upper()))
+            if raw:
+                values[name] = kind(raw)
+        return cls(**values)
+
+    def shown(self) -> dict[str, str]:
+        """For people to read: the key is masked."""
+        return {k: ("***" if self.api_key else "") if k == "api_key" else str(getattr(self, k)) for k in sorted(self.__dataclass_fields__)}
+
+
+def benchmark(spark: SparkSession, providers: dict[str, LlmProvider | EmbeddingProvider], prompts: list[str]) -> DataFrame:
+    """(provider, prompt, seconds, units, error) for each provider and prompt, measured on the executors;
+    units are the answer's bytes, or the length of its vector."""
+    rows = spark.createDataFrame([(n, p) for n in sorted(providers) for p in prompts], "provider string, prompt string")
+
     def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in stream:
-            for s in range(0, len(pdf), config.batch):
-                asked = pdf["request"].iloc[s : s + config.batch].tolist()
+            out = []
+            for name, prompt in zip(pdf["provider"], pdf["prompt"], strict=True):
+                p, began, units, error = providers[name], time.perf_counter(), 0, None
                 try:
-                    got, errors = with_retries(lambda asked=asked: (provider.embed if embeds else provider.generate)(asked), config), [None] * len(asked)
+                    units = len(p.generate([prompt])[0].encode()) if hasattr(p, "generate") else len(p.embed([prompt])[0])
                 except Exception as e:
-                    got, errors = [None] * len(asked), [str(e)] * len(asked)
-                yield pd.DataFrame({"request": asked, name: got, "error": errors})
+                    error = str(e)
+                out.append((name, prompt, time.perf_counter() - began, units, error))
+            yield pd.DataFrame(out, columns=["provider", "prompt", "seconds", "units", "error"])
 
-    fresh = keep(todo.repartition("request").mapInPandas(run, f"request string, {out}, error string"))
-    if cache is not None:
-        known = cache.where("error is null").select("request", name, "error").join(requests.select("request").distinct(), "request", "left_semi")
-        fresh = fresh.unionByName(known)
-    return fresh
+    return rows.mapInPandas(run, "provider string, prompt string, seconds double, units long, error string")
 
 
 def json_block(answer: str) -> str:
