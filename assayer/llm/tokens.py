@@ -86,53 +86,49 @@ class Encoder:
         return self.kind is not None and not any(c in text for c in _DOUBTFUL) and not any(s in text for s in self._special)
 
     def _encoded(self, new: list[str]):
-        """(key, ids) of new parts. Most are encoded as one text and told apart by the first tokens of
-        parts that start with a space, or by the last tokens of words: one of each run of letters and
-        one of a mark after it. The others are encoded as one text with separators of one id between
-        them; those that hold the separator or start a text, one by one."""
-        told, others, alone = [], [], []
+        """Batches (keys, their ids) of new parts. Most are encoded as one text and told apart by the
+        first tokens of parts that start with a space, or by the last tokens of words: one of each run
+        of letters and one of a mark after it. The others are encoded as one text with separators of
+        one id between them; those that hold the separator or start a text, one by one."""
+        told, counts, others, alone = [], [], [], []
         if self.kind == "words":
             for w in new:
                 if w.isalpha():
-                    told.append((w, 1))
+                    told.append(w)
+                    counts.append(1)
                 elif w[-1] in ".,;:!?" and w[:-1].isalpha():
-                    told.append((w, 2))
+                    told.append(w)
+                    counts.append(2)
                 else:
                     (alone if _BETWEEN in w else others).append(w)
         else:
-            for w in new:
-                if w[:1] == _FIRST:
-                    alone.append(w)
-                else:
-                    told.append((w, 1))
+            told = [w for w in new if w[:1] != _FIRST]
+            alone = [w for w in new if w[:1] == _FIRST] if len(told) < len(new) else []
         space = "" if self.kind == "words" else " "
         for a in range(0, len(told), 512):
-            some = [w for w, _ in told[a : a + 512]]
-            marks = np.cumsum([n for _, n in told[a : a + 512]])
+            some = told[a : a + 512]
             ids = np.array(self._t.encode_batch_fast([space + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             at = np.flatnonzero(self._edge[ids])
-            if len(at) != marks[-1]:  # letters or spaces to Python only
+            marks = np.cumsum(counts[a : a + 512]) if counts else None
+            if len(at) != (marks[-1] if counts else len(some)):  # letters or spaces to Python only
                 alone += some
                 continue
-            at = [0, *(at[marks - 1] + 1).tolist()] if self.kind == "words" else [*at.tolist(), len(ids)]
-            if at[0] or at[-1] != len(ids):
+            at = [0, *(4 * (at[marks - 1] + 1)).tolist()] if counts else [*(4 * at).tolist(), 4 * len(ids)]
+            if at[0] or at[-1] != 4 * len(ids):
                 alone += some
                 continue
             data = ids.tobytes()
-            yield from zip(some, [data[4 * x : 4 * y] for x, y in zip(at, at[1:], strict=False)], strict=True)
+            yield some, [data[x:y] for x, y in zip(at, at[1:], strict=False)]
         for a in range(0, len(others), 512):
             some = others[a : a + 512]
-            ids = np.array(self._t.encode_batch_fast([space + f" {_BETWEEN} ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self._t.encode_batch_fast([f" {_BETWEEN} ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = [*np.flatnonzero(ids == self._between).tolist(), len(ids)]
-            data, at = ids.tobytes(), 0
-            for w, end in zip(some, ends, strict=True):
-                yield w, data[4 * at : 4 * end]
-                at = end + 1
+            data = ids.tobytes()
+            yield some, [data[4 * x : 4 * y] for x, y in zip([0, *(e + 1 for e in ends)], ends, strict=False)]
         for a in range(0, len(alone), 512):
             some = alone[a : a + 512]
             texts = [w[1:] if w[:1] == _FIRST else space + w for w in some]
-            for w, e in zip(some, self._t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                yield w, array("I", e.ids).tobytes()
+            yield some, [array("I", e.ids).tobytes() for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -142,7 +138,7 @@ class Encoder:
                 out[i] = self.whole(t)
             elif self.kind == "words":
                 plain.append((i, t))
-            elif t and any(r in t for r in (_ASCII_RUNS if t.isascii() else _RUNS)):
+            elif t and _has_runs(t):
                 runs.append((i, self._cut(t)))
             elif t:
                 plain.append((i, t[1:] if t[0] == " " else _FIRST + t))
@@ -170,16 +166,27 @@ class Encoder:
         ids = list(map(cache.get, words))
         missing = [i for i, x in enumerate(ids) if x is None]
         if missing:
-            new = dict(self._encoded([words[i] for i in missing if words[i] or self.kind != "words"]))
-            for i in missing:
-                ids[i] = new.get(words[i], b"")
-            cache.update(new if max(map(len, new), default=0) <= self._longest else {w: x for w, x in new.items() if len(w) <= self._longest})
+            new = [words[i] for i in missing]
+            for keys, found in self._encoded([w for w in new if w] if self.kind == "words" else new):
+                cache.update(zip(keys, found, strict=True))
+            for i, w in zip(missing, new, strict=True):
+                ids[i] = cache.get(w, b"")
+            for w in new:
+                if len(w) > self._longest:
+                    del cache[w]
         if len(cache) > self._entries:  # the parts met first are the common ones: keep those
             for w in list(islice(cache, self._entries // 2, None)):
                 del cache[w]
         return ids
 
 
+def _has_runs(text: str) -> bool:
+    for r in _ASCII_RUNS if text.isascii() else _RUNS:
+        if r in text:
+            return True
+    return False
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
