@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .common import Workspace, open_fs, publish
 from .rans import Table, Writer, read_index
-from .tokens import encoder, text_batches
+from .tokens import encoder, forget, text_batches
 
 MANIFEST = "part int, file int, uri string"
 
@@ -103,6 +103,7 @@ def token_blocks(manifest: DataFrame) -> DataFrame:
     """(part, file, uri, block, n) per block, from the indexes of the manifest's files."""
 
     def listed(stream):
+        forget()
         for batch in stream:
             files, rows = _Files(), []
             for r in batch.to_pylist():
@@ -126,6 +127,7 @@ def read_tokens(blocks: DataFrame, with_ids: bool = False, tasks: int | None = N
     blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
     def read(stream):
+        forget()  # the worker may have written before
         files = _Files()
         for batch in stream:
             for b in batch.to_pylist():

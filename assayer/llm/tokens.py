@@ -53,7 +53,7 @@ def _kind(spec: dict) -> str | None:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, entries: int = 1_000_000, longest: int = 100) -> None:
+    def __init__(self, path: str, entries: int = 500_000, longest: int = 100) -> None:
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
@@ -197,7 +197,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def text_batches(column, rows: int = 4096, chars: int = 4 << 20):
+def forget() -> None:
+    """Gives back the memory of this worker's encoders."""
+    _ENCODERS.clear()
+
+
+def text_batches(column, rows: int = 1024, chars: int = 2 << 20):
     """(start, texts) slices of an Arrow string column with bounded text; nulls are empty."""
     start, held, size = 0, [], 0
     for i, v in enumerate(column):
