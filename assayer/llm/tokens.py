@@ -3,7 +3,7 @@
 The library spends most of a text on words that it has encoded before. Where a vocabulary file
 describes one of two plain byte-pair encoders (byte level, or lower-cased words with an end mark),
 no token spans a certain kind of cut: for words any white space, for bytes the place before a space
-that follows no white space. Texts are cut there, the library encodes each new part, and the ids of
+that follows no white space, for both the end of a run of letters. Texts are cut there, the library encodes each new part, and the ids of
 short parts are kept. A text goes to the library whole where a part could be encoded otherwise
 alone: it holds the string of a special token or a character on which Python and the library may
 disagree about white space, or the file is of any other kind.
@@ -31,6 +31,10 @@ _ASCII_RUNS = [r for r in _RUNS if r.isascii()]
 _CUT = re.compile(r"(?<=\S) ")
 _FIRST = "\x1c"  # marks parts without a space before them
 _BETWEEN = "~"  # new parts are encoded together with this between them
+# No token spans the end of a run of letters, nor a single line break and a letter after it. Cut there,
+# fewer parts differ. A mark after a letter may be composed with it.
+_AFTER_LETTERS = r"(\pL)([^\pL\pM ])"
+_AFTER_BREAK = r"([\pL\pN\pP\pS])\n(\pL)"
 # Fixed value: the pattern by which the second kind of vocabulary splits a text.
 _WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -83,6 +87,8 @@ class Encoder:
         return [_FIRST + first, *rest] if first else rest
 
     def _safe(self, text: str) -> bool:
+        if self.kind == "words" and "\u0130" in text:  # its small form ends in a mark
+            return False
         return self.kind is not None and not any(c in text for c in _DOUBTFUL) and not any(s in text for s in self._special)
 
     def _encoded(self, new: list[str]):
@@ -137,7 +143,7 @@ class Encoder:
             if not self._safe(t):
                 out[i] = self.whole(t)
             elif self.kind == "words":
-                plain.append((i, t))
+                plain.append((i, t.lower() if t.isascii() else t))
             elif t and _has_runs(t):
                 runs.append((i, self._cut(t)))
             elif t:
@@ -145,7 +151,11 @@ class Encoder:
         if not plain and not runs:
             return out
         cut = pa.array([t for _, t in plain], pa.large_string())
-        cut = pc.utf8_split_whitespace(cut) if self.kind == "words" else pc.split_pattern(cut, " ")
+        if self.kind == "words":
+            cut = pc.utf8_split_whitespace(pc.replace_substring_regex(cut, _AFTER_LETTERS, r"\1 \2"))
+        else:
+            cut = pc.replace_substring_regex(cut, _AFTER_BREAK, "\\1\n " + _FIRST + "\\2")
+            cut = pc.split_pattern(pc.replace_substring_regex(cut, _AFTER_LETTERS, "\\1 " + _FIRST + "\\2"), " ")
         cut = pa.concat_arrays([cut, pa.array([p for _, p in runs], cut.type)])
         coded = cut.flatten().dictionary_encode()
         ids = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
