@@ -485,7 +485,7 @@ def evaluate_native(spark, d):
 @query("""WITH e AS (SELECT vec_id, embedding AS v, label, (vec_id % 7)::DOUBLE / 4 - 0.25 AS raw FROM embeddings),
 g AS (SELECT vec_id, v, label, raw, least(1, greatest(0, raw)) AS c, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)))::FLOAT AS norm, (vec_id % 5)::INT AS tp, (vec_id % 3)::INT AS fp FROM e)
 SELECT vec_id, c AS clamped, CASE WHEN raw BETWEEN 0 AND 1 THEN raw END AS accepted, CASE WHEN raw BETWEEN 0 AND 1 THEN NULL ELSE 'metric task failed: the score is not in [0, 1]' END AS error,
- (c >= 0.5)::DOUBLE AS critic, round(CASE WHEN norm > 0 THEN list_sum(list_transform(v, lambda x: (x::FLOAT / norm)::DOUBLE)) ELSE 0 END, 3) AS unit_sum, (len(list_filter(v, lambda x: x <> 0)) = 0) AS zero,
+ (c >= 0.5)::DOUBLE AS critic, round(CASE WHEN norm > 0 THEN list_sum(list_transform(v, lambda x: (x::FLOAT / norm)::DOUBLE)) ELSE 0 END, 3) + 0.0::DOUBLE AS unit_sum, (len(list_filter(v, lambda x: x <> 0)) = 0) AS zero,
  round(CASE WHEN 2 * tp + fp + label > 0 THEN 2 * tp / (2 * tp + fp + label) ELSE 0.0 END, 6) AS f1, round((c * 0.25 + tp / 4 * 0.75), 6) AS correctness, round(greatest(0, c - tp / 4), 6) AS noise,
  round(CASE WHEN fp = 0 THEN 1.0 ELSE least(tp, fp) / fp END, 6) AS share, printf('%.6f', raw) AS printed FROM g""")
 def score_helpers(spark, d):
@@ -493,14 +493,14 @@ def score_helpers(spark, d):
     made, c = M.numeric_result(F.col("raw")), V.normalized_score(F.col("raw"))
     return e.select(
         "vec_id", c.alias("clamped"), V.normalized_score(F.col("raw"), "reject").alias("accepted"), made["error"].alias("error"), M.aspect_critic(F.col("raw"), 0.5).alias("critic"),
-        F.round(F.aggregate(V.l2_normalized(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 3).alias("unit_sum"), V.is_zero(F.col("embedding")).alias("zero"),
+        (F.round(F.aggregate(V.l2_normalized(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 3) + 0.0).alias("unit_sum"), V.is_zero(F.col("embedding")).alias("zero"),
         r6(V.f1(F.col("tp"), F.col("fp"), F.col("label"))).alias("f1"), r6(V.answer_correctness(F.col("raw"), F.col("tp") / 4)).alias("correctness"), r6(V.noise_sensitivity(F.col("raw"), F.col("tp") / 4)).alias("noise"),
         r6(M.ratio(F.least("tp", "fp"), F.col("fp"), 1.0)).alias("share"), G.printed(F.col("raw")).alias("printed"),
     )
 
 
 @query("""WITH o AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"score": 0.5, "reason": "fine"}' WHEN 1 THEN 'so {"score": 1} it is' WHEN 2 THEN '{"score": "high"}' WHEN 3 THEN '{"score": 2, "reason": 7}' ELSE 'none' END AS j, event_id % 5 AS k, value, event_type FROM events)
-SELECT event_id, CASE k WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 END AS score, CASE k WHEN 0 THEN 'fine' END AS reason, k = 1 AS repaired, k NOT IN (0, 1) AS failed, CASE WHEN event_id % 4 < 3 THEN round((event_id % 4 / 2 + 0.5) / 2, 6) END AS summary,
+SELECT event_id, CASE k WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE END AS score, CASE k WHEN 0 THEN 'fine' END AS reason, k = 1 AS repaired, k NOT IN (0, 1) AS failed, CASE WHEN event_id % 4 < 3 THEN round((event_id % 4 / 2 + 0.5) / 2, 6) END AS summary,
  CASE WHEN event_id % 2 = 0 THEN '[text] ' || event_type || chr(10) || '[image image/png] u' END AS scaffold FROM o""")
 def judge_outputs(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", (F.col("event_id") % 5).alias("k"), (F.col("event_id") % 4).alias("m"))
@@ -539,7 +539,7 @@ def id_subsets(spark, d):
     return h.select("s", A.subset_of(F.col("x"), F.array(*map(F.lit, range(1, 5)))).alias("inside"))
 
 
-@query("""SELECT round(sum(floor(value)::BIGINT) * 0.25 + sum(event_id % 100) * 0.25, 6) AS cost FROM events""")
+@query("""SELECT round(sum(floor(value)::BIGINT)::DOUBLE * 0.25::DOUBLE + sum(event_id % 100)::DOUBLE * 0.25::DOUBLE, 6) AS cost FROM events""")
 def run_cost(spark, d):
     return A.estimated_cost(_journal(spark, d), 0.25).select(r6(F.col("cost")).alias("cost"))
 

@@ -195,7 +195,6 @@ def test_provider_stage_caches_and_retries(spark):
 def test_graph_and_testset(spark):
     assert chunking.pack_words("aa bb cc dddddd", 5) == ["aa bb", "cc", "dddddd"] and chunking.pack_words(" ", 5) == []
     assert chunking.split_at_headlines("intro A one B two", ["A", "B"]) == ["intro", "A one", "B two"]
-    assert graph.greedy_clusters([("a", "", [1, 0]), ("b", "", [0.9, 0.3]), ("c", "", [0, 1])]) == [[0, 1], [2]]
     docs = spark.createDataFrame([(1, "one two three four"), (2, "five")], "doc_id long, text string")
     n, e = testset.document_graph(docs, 10)
     assert n.count() == 5 and e.where("relationship = 'next'").count() == 1 and e.where("relationship = 'contains'").count() == 3
