@@ -184,19 +184,21 @@ def _components(docs: DataFrame, k: int, percent: int, front: float = 0.25, bloc
 
     # 2. Whoever has enough shingles of its own among the front ones links with nothing.
     low = seen.where("n > 0").select("node", F.explode("low").alias("h"))
-    met = low.join(_shared(low, "node"), "h").groupBy("node").agg(F.count("*").alias("met"))
+    shared = work.keep(_shared(low, "node"), "shared")  # one shuffle of the hashes is over before the next begins
+    met = low.join(shared, "h").groupBy("node").agg(F.count("*").alias("met"))
     need = (F.col("n") - least + 1).cast("long")
     alive = nodes.join(met, "node", "left").where(F.col("n_low") - F.coalesce("met", F.lit(0)) / F.col("copies") < need).where("rep is not null").select("node", "rep", "n", "named")
     alive = work.keep(alive, "alive")
-    work.drop(seen)
+    work.drop(seen, shared)
     bits = spark.sparkContext.broadcast(_bitmap(alive))
     sets = texts.mapInArrow(lambda it: _sets(it, k, bits), "doc_id long, _node long, sig array<long>")
-    named = sets.join(alive, (sets["_node"] == alive["node"]) & (sets["doc_id"] == alive["rep"])).select("node", "n", "named", "sig").dropDuplicates(["node"])
+    # A node has one rep: by the keys of the join, repeated rows go without another shuffle of whole sets.
+    named = sets.join(alive, (sets["_node"] == alive["node"]) & (sets["doc_id"] == alive["rep"])).dropDuplicates(["node", "rep"]).select("node", "n", "named", "sig")
     sets = work.keep(named, "sets")
 
     # 3. Rarest shingles first; what only one node has links it with nothing.
     rows = sets.select("node", F.explode("sig").alias("h"))
-    often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    often = work.keep(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
     common = rows.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("common"))
     own = F.col("n") - F.size("common")
     prefixes = sets.select("node", "n").join(common, "node").withColumn("own", own).where(F.col("own") < need)
@@ -204,6 +206,7 @@ def _components(docs: DataFrame, k: int, percent: int, front: float = 0.25, bloc
     # A node with a shingle of its own in its prefix shares that prefix with nobody.
     key = F.when(F.col("own") == 0, F.xxhash64("n", "pref")).otherwise(F.xxhash64("n", "pref", "node"))
     prefixes = work.keep(prefixes.withColumn("grp", key), "prefixes")
+    work.drop(often)
     hits = prefixes.groupBy("grp").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.count("*").alias("w"), F.first("pref").alias("pref"))
     hits = work.keep(hits.select("grp", "n", "w", "own", F.posexplode("pref").alias("pos", "h")).withColumn("pos", F.col("own") + F.col("pos") + 1), "hits")
     spread = hits.groupBy("h").agg(F.sum("w").alias("spread"), F.count("*").alias("groups"))

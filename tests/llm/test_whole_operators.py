@@ -1,10 +1,12 @@
 """Whole jobs of the training-data operators: what a cut, a switch or a key by id would lose."""
 
 import random
+import time
 
 import pytest
 
 from assayer.llm import html_extract, jaccard_join, pii
+from assayer.llm.common import Workspace
 
 
 def texts_of(spark, pages, **kw):
@@ -80,3 +82,37 @@ def test_jaccard_counts_links(spark):
     for nodes in (20, 1200):
         got = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_components(df, 4, 85, block_nodes=nodes, links=True).collect()}
         assert got == want
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    work = Workspace(spark, "test")
+    disk = spark._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: {f for f in (disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size())) if f.startswith("shuffle_")}
+    before = held()
+    t = work.keep(spark.range(1000).repartition(3, "id"))
+    end = time.time() + 10
+    while held() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not held() - before
+    assert t.count() == 1000
+
+
+def test_jaccard_shuffles_whole_sets_once(spark, monkeypatch):
+    plans, keep = {}, Workspace.keep
+
+    def seen(self, df, name="t"):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Workspace, "keep", seen)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(base)), (2, " ".join(base + ["end"])), (2, " ".join(base)), (3, "alone here with five words")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(tuple(r) for r in jaccard_join.jaccard_components(df, 4, 85).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(1, 57, 1), (2, 57, 1), (2, 58, 1), (3, 2, 3)]
+    assert plans["sets"].count("Exchange hashpartitioning") == 2  # of the sets and of the nodes alive
