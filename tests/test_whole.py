@@ -2,10 +2,13 @@
 
 from collections import Counter
 from itertools import combinations
+from random import Random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from assayer import catalog
+from assayer.operators import graph as G
 from assayer.sources import datasets
 
 
@@ -63,6 +66,45 @@ def test_paths_run_over_every_customer(spark, small):
     assert len(got) == len(want) and {frozenset(x) for x in got} == want
 
 
+def paths(edges, depth, bidirectional):
+    near = {}
+    for s, t in edges:
+        if s != t:
+            near.setdefault(s, set()).add(t)
+            if bidirectional:
+                near.setdefault(t, set()).add(s)
+    level, out = [(s, t) for s, ts in near.items() for t in ts], set()
+    for n in range(2, depth + 1):
+        out |= {tuple(sorted(p)) for p in level}
+        level = [(*p, t) for p in level for t in near.get(p[-1], ()) if t not in p] if n < depth else []
+    return sorted(out)
+
+
+def test_path_sets_are_made_once_and_whole(spark):
+    rng = Random(3)
+    clique = [(f"k{i}", f"k{j}") for i, j in combinations(range(9), 2)]
+    loose = [(f"x{rng.randrange(40)}", f"x{rng.randrange(40)}") for _ in range(150)]
+    star = [("hub", f"l{i}") for i in range(30)] + [("l1", "l2"), ("l2", "l1"), ("l2", "l3"), ("l1", "l3"), ("k1", "hub"), ("hub", "hub")]
+    for edges in ([("a", "b")], [("a", "a")], star, clique + loose + star):
+        df = spark.createDataFrame(edges + edges[:3], "source_id string, target_id string")
+        for depth, both in ((2, True), (3, True), (4, True), (2, False), (3, False), (4, False)):
+            got = sorted(tuple(r["nodes"]) for r in G.path_sets(df, depth, both).collect())
+            assert got == paths(edges, depth, both), (len(edges), depth, both)
+    e = df.select(F.col("source_id").alias("s"), F.col("target_id").alias("t"))
+    e = e.union(e.select("t", "s")).where("s <> t").distinct()
+    cut = sorted(tuple(r["nodes"]) for r in G._triples(e, block=4, rows=50).collect())
+    assert cut == [p for p in paths(edges, 3, True) if len(p) == 3]
+
+
+def test_sets_of_a_hub_are_not_shuffled_and_are_many_tasks_work(spark):
+    star = spark.range(3000).select(F.lit("hub").alias("source_id"), F.concat(F.lit("l"), "id").alias("target_id"))
+    df = G.path_sets(star, 3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[nodes" not in plan and "partitioning(nodes" not in plan
+    parts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 3000 + 3000 * 2999 // 2 and max(parts) < sum(parts) / 2
+
+
 def test_csv_has_every_metadata_key(spark, tmp_path):
     df = spark.range(1).selectExpr("'q' user_input", "'a' response", "array('c') retrieved_contexts", "'r' reference", "map_from_entries(transform(sequence(1, 1005), i -> struct(concat('k', i) as k, string(i) as v))) metadata")
     datasets.write_csv(df, str(tmp_path / "out"))
