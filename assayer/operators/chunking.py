@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +43,35 @@ def split_at_headlines(text: str, headlines: list[str], least: int = 0, most: in
     return out
 
 
-def chunk_documents(docs: DataFrame, most_bytes: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, source_id, chunk_index, text) per chunk; a blank or null text has none."""
+_CHUNK = pa.schema([("id", pa.string()), ("source_id", pa.string()), ("chunk_index", pa.int32()), ("text", pa.string())])
+
+
+def cut_documents(stream: Iterator[pa.RecordBatch], most_bytes: int, held_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The chunks of batches of (key, text), given back whenever they have ``held_bytes`` characters or one
+    document has more: beside Arrow's batch no more than that is held, however long the texts are."""
+    rows: list[tuple] = []
+    size = 0
+    for batch in stream:
+        for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            k = str(key.as_py())
+            found = pack_words(text.as_py() or "", most_bytes)
+            rows += [(f"{k}-chunk-{i}", k, i, c) for i, c in enumerate(found)]
+            size += sum(map(len, found))
+            if size >= held_bytes:
+                yield _chunk_batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _chunk_batch(rows)
+            rows, size = [], 0
+        batch = key = text = None  # else they are held while the next one is read
+        pa.default_memory_pool().release_unused()
 
-    def cut(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in stream:
-            rows = [(f"{k}-chunk-{i}", str(k), i, c) for k, t in zip(pdf["k"], pdf["t"], strict=True) for i, c in enumerate(pack_words(t or "", most_bytes))]
-            yield pd.DataFrame(rows, columns=["id", "source_id", "chunk_index", "text"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(cut, "id string, source_id string, chunk_index int, text string")
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CHUNK, strict=True)], schema=_CHUNK)
+
+
+def chunk_documents(docs: DataFrame, most_bytes: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, source_id, chunk_index, text) per chunk; a blank or null text has none."""
+    kept = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return kept.mapInArrow(lambda stream: cut_documents(stream, most_bytes), "id string, source_id string, chunk_index int, text string")

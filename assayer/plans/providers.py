@@ -19,11 +19,12 @@ import urllib.parse
 import urllib.request
 import uuid
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -220,6 +221,26 @@ class Normalized:
         return out
 
 
+def in_flight(one: Callable[[list[str]], pd.DataFrame], stream: Iterator[pa.RecordBatch], config: RunConfig) -> Iterator[pd.DataFrame]:
+    """``one`` of each ``config.batch`` requests, ``config.concurrency`` at a time, as they are done. Four times
+    as many wait or are done at most: what a task holds beside Arrow's batch is bounded by the settings."""
+    waiting: set[Future] = set()
+    with ThreadPoolExecutor(config.concurrency) as pool:
+        for batch in stream:
+            for s in range(0, batch.num_rows, config.batch):
+                waiting.add(pool.submit(one, batch.column(0).slice(s, config.batch).to_pylist()))
+                if len(waiting) >= 4 * config.concurrency:
+                    done, waiting = wait(waiting, return_when=FIRST_COMPLETED)
+                    while done:
+                        yield done.pop().result()
+            del batch  # else it is held while the next one is read
+            pa.default_memory_pool().release_unused()
+        while waiting:
+            done, waiting = wait(waiting, return_when=FIRST_COMPLETED)
+            while done:
+                yield done.pop().result()
+
+
 def call_stage(requests: DataFrame, provider: LlmProvider | EmbeddingProvider, keep: Callable[[DataFrame], DataFrame], cache: DataFrame | None = None, config: RunConfig = RunConfig()) -> DataFrame:
     """(request, answer or vector, error) per distinct request of column ``request``, and the tokens of
     providers that meter them (``generate_metered``). ``keep`` writes a table to storage and reads it
@@ -245,13 +266,14 @@ def call_stage(requests: DataFrame, provider: LlmProvider | EmbeddingProvider, k
         parts = [x or (None, None, None) for x in got]
         return pd.DataFrame({"request": asked, name: [x[0] for x in parts], "error": errors, "prompt_tokens": pd.array([x[1] for x in parts], "Int64"), "completion_tokens": pd.array([x[2] for x in parts], "Int64")})
 
-    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(config.concurrency) as pool:
-            for pdf in stream:
-                yield from pool.map(one, [pdf["request"].iloc[s : s + config.batch].tolist() for s in range(0, len(pdf), config.batch)])
+    arrow = pa.schema([("request", pa.string()), ("vector", pa.list_(pa.float32())) if embeds else ("answer", pa.string()), ("error", pa.string()), *[(f"{k}_tokens", pa.int64()) for k in ("prompt", "completion") if meters]])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in in_flight(one, stream, config):
+            yield pa.RecordBatch.from_pandas(got, schema=arrow, preserve_index=False)
 
     schema = f"request string, {out}, error string" + (", prompt_tokens long, completion_tokens long" if meters else "")
-    fresh = keep(todo.repartition("request").mapInPandas(run, schema))
+    fresh = keep(todo.repartition("request").mapInArrow(run, schema))
     if config.raise_errors:
         bad = fresh.where("error is not null").orderBy("request").first()
         if bad:

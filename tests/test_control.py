@@ -3,6 +3,8 @@
 import json
 import time
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +22,25 @@ def keep(tmp_path):
     return P.stored(f"file://{tmp_path}/kept")
 
 
+def test_a_stage_holds_few_requests_at_a_time(spark, keep):
+    begun = []
+
+    def one(asked):
+        begun.append(len(asked))
+        return pd.DataFrame({"request": asked})
+
+    config = P.RunConfig(concurrency=2, batch=5)
+    batches = [pa.RecordBatch.from_pydict({"request": [f"{b}-{i}" for i in range(1003)]}) for b in range(2)]
+    stream = P.in_flight(one, iter(batches), config)
+    first = next(stream)
+    assert len(begun) <= 4 * config.concurrency
+    rest = [r for pdf in stream for r in pdf["request"]]
+    assert sorted([*first["request"], *rest]) == sorted(r for b in batches for r in b["request"].to_pylist()) and max(begun) == 5
+    asked = spark.range(5000).select(F.concat(F.lit("q"), "id").alias("request"))
+    told = P.call_stage(asked, P.Scripted(lambda p: p.upper()), keep, config=config)
+    assert told.where("answer = upper(request) and error is null").distinct().count() == told.count() == 5000
+
+
 def test_retries_time_out_and_stop(spark):
     quick = P.RunConfig(attempts=2, first_wait=1, most_wait=1, timeout=50)
     calls = []

@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -192,6 +193,15 @@ def test_provider_stage_caches_and_retries(spark):
     assert providers.parse_embeddings({"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]}) == [[1.0], [2.0]]
 
 
+def test_chunks_are_given_back_in_small_batches():
+    texts = ["word " * 700, None, " ", "x" * 5000, *["a bb ccc " * 400] * 500, "last one"]
+    batches = [pa.RecordBatch.from_pydict({"k": list(range(i, i + len(t))), "t": t}) for i, t in ((0, texts[:300]), (300, texts[300:]), (len(texts), []))]
+    got = list(chunking.cut_documents(iter(batches), 100, held_bytes=20_000))
+    assert max(sum(len(t) for t in b["text"].to_pylist()) for b in got) < 20_000 + 5000 and len(got) > 80
+    want = [(f"{k}-chunk-{i}", str(k), i, c) for k, t in enumerate(texts) for i, c in enumerate(chunking.pack_words(t or "", 100))]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+
+
 def test_graph_and_testset(spark):
     assert chunking.pack_words("aa bb cc dddddd", 5) == ["aa bb", "cc", "dddddd"] and chunking.pack_words(" ", 5) == []
     assert chunking.split_at_headlines("intro A one B two", ["A", "B"]) == ["intro", "A one", "B two"]
